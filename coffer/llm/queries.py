@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coffer.llm import bpe, packing
+from coffer.llm import bpe, packing, pii, quality_model
 from coffer.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,8 +21,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digests=True)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_bpe)}
+    return {f.__name__: f for f in (op2_packing, op3_bpe, op8_quality, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
