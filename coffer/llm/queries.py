@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coffer.llm import bpe, packing, pii, quality_model
+from coffer.llm import bpe, host_rules, packing, pii, quality_model, secrets
 from coffer.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -25,12 +29,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.report(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_bpe, op8_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_packing, op3_bpe, op8_quality, op9_host_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
