@@ -76,7 +76,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def fold(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all windows of so many consecutive elements, order included."""
     n = len(hashes) - width + 1
-    out = np.full(max(n, 0), np.uint64(width) * _M2, dtype=np.uint64)
+    out = np.full(max(n, 0), np.uint64(width * int(_M2) % (1 << 64)), dtype=np.uint64)
     for i in range(width if n > 0 else 0):
         out = mix(out * np.uint64(3) + hashes[i : i + n])
     return out
