@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coffer.llm import bpe, embed_dedup, host_rules, html_extract, jaccard, packing, pii, quality_model, secrets
+from coffer.llm import bpe, embed_dedup, host_rules, html_extract, jaccard, packing, pii, quality_model, secrets, suffix_dedup
 from coffer.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_packing, op3_bpe, op4_embeddings, op5_jaccard, op6_html, op8_quality, op9_host_rules, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_packing, op3_bpe, op4_embeddings, op5_jaccard, op6_html, op7_suffix_array, op8_quality, op9_host_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
