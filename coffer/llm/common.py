@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coffer.shipping import ship
+
 #: Rows in an Arrow batch. Documents may be long, so a batch of them must stay small.
 ARROW_ROWS = 512
+#: Rows in a batch of numbers and short strings.
+SMALL_ROWS = 16_384
 #: A lookup side is broadcast only when it has at most this many rows of a few longs (some 20 MB).
 BROADCAST_ROWS = 200_000
 
@@ -23,6 +29,7 @@ def session(df: DataFrame) -> SparkSession:
 
 def prepare(spark: SparkSession) -> None:
     """Bounds Arrow batches and makes sure that checkpoints have a folder. The cluster's own setting wins."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
@@ -40,8 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that a checkpoint has replaced; they'd stay until the driver's next full GC."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that a checkpoint has replaced; they'd stay until the driver's next full GC.
+
+    The plan that ran last is held until its listeners have seen its end, hence the pause."""
+    for _ in range(2):
+        gc.collect()  # data frames may be held by reference cycles
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,10 +95,26 @@ def fold(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def store(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: smaller than a checkpoint where rows are wide."""
+def store(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: smaller than a checkpoint where rows are wide. ``rows``: of an Arrow batch."""
     spark = session(df)
     prepare(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._coffer_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``store`` that nothing reads any more."""
+    for df in tables:
+        context = session(df).sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._coffer_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import arrow, cut, fold, free, lookup, mix, texts
+from coffer.llm.common import arrow, cut, discard, fold, free, lookup, mix, store, texts
 from coffer.llm.components import components
 
 #: Counters of shingle frequencies, and segments that they're summed and sent in.
@@ -198,13 +198,16 @@ class Join:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         wanted = cut(found.select(F.col("k1").alias("cls"), F.col("rep").alias("doc_id")).join(wanted, "cls", "left_semi").select("doc_id").distinct())
         some = lookup(self.docs.where("doc_id is not null"), wanted, "doc_id", "left_semi")
-        # An id with several texts may bring more classes than asked for; they meet no pair. Equal texts give one row.
-        sets = cut(arrow(some.select("text"), _sets(self.width), "cls long, items array<long>").dropDuplicates(["cls"]))
+        # An id with several texts may bring more classes than asked for; they meet no pair. Repeated rows repeat pairs, at the end dropped.
+        sets = arrow(some.select("text"), _sets(self.width), "cls long, items array<long>")
         first = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
         second = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
-        return cut(pairs.join(first, "a").join(second, "b").select("a", "b", (self.threshold.den * common >= self.threshold.num * union).alias("linked")))
+        checked = pairs.join(first, "a").join(second, "b").select("a", "b", (self.threshold.den * common >= self.threshold.num * union).alias("linked"))
+        checked = cut(checked.distinct())
+        free(self.spark)
+        return checked
 
     def run(self) -> DataFrame:
         """One row per row: doc_id, n_shingles, component_id."""
@@ -212,9 +215,11 @@ class Join:
         rows = keyed.where("segment < 0").select("doc_id", "n", "k1", "k2")
         found = cut(rows.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep")))
         sent = self.spark.sparkContext.broadcast(frequencies(keyed))
-        prefixes = arrow(self.docs.select("text"), _prefixes(self.width, self.threshold, sent), "token long, cls long, n long, pos long, " + ", ".join(f"f{i} long" for i in range(SKETCH)))
+        # Side by side in columns, the rows of a class take little more than their elements.
+        prefixes = store(arrow(self.docs.select("text"), _prefixes(self.width, self.threshold, sent), "token long, cls long, n long, pos long, " + ", ".join(f"f{i} long" for i in range(SKETCH))))
         shared = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-        listed = cut(prefixes.join(shared, "token"))
+        listed = store(prefixes.join(shared, "token"))
+        discard(prefixes)
         free(self.spark)
         # Round 1: the least and the greatest class of each posting list against the others.
         lists = listed.drop("low", "high")
@@ -224,11 +229,15 @@ class Join:
         edges = checked.where("linked").select("a", "b")
         joined = components(edges).withColumnRenamed("node", "cls")
         # Round 2: classes of different components that share a prefix element.
-        labelled = cut(lookup(lists, joined, "cls").withColumn("component", F.coalesce("component", "cls")))
+        labelled = store(lookup(lists, joined, "cls").withColumn("component", F.coalesce("component", "cls")))
         mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        across = cut(labelled.join(mixed, "token", "left_semi").dropDuplicates(["token", "cls"]))
+        discard(listed)
+        across = store(labelled.join(mixed, "token", "left_semi").dropDuplicates(["token", "cls"]))
+        discard(labelled)
+        free(self.spark)
         pairs = self.candidates(across, across, (F.col("cls") < F.col("cls_r")) & (F.col("component") != F.col("component_r")))
         pairs = cut(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        discard(across)
         edges = edges.unionByName(self.verified(pairs, found).where("linked").select("a", "b"))
         joined = cut(lookup(found, components(edges).withColumnRenamed("node", "k1"), "k1").withColumn("component", F.coalesce("component", "k1")))
         least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -244,7 +253,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with one document of each component: that of the least id, once. Rows without an id stay, being in no component by name."""
-    least = near_duplicates(docs.where("doc_id is not null"), width, num, den).select("doc_id", "component_id")
-    kept = least.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("doc_id = component_id").select("doc_id")
-    once = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    ids = near_duplicates(named, width, num, den).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
+    kept = store(ids.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"), "times"))
+    once = _of(named, kept.where("times = 1"))
+    again = _of(named, kept.where("times > 1")).dropDuplicates(["doc_id"])  # texts are shuffled for repeated ids only
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+
+
+def _of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    return lookup(docs.withColumn("kept_id", F.col("doc_id").cast("long")), kept.select("kept_id"), "kept_id", "left_semi").select(*docs.columns)
