@@ -1,10 +1,11 @@
 """Burrows-Wheeler transforms of shards of strings, merged by iterative interleave refinement.
 
 Each shard's strings are laid end to end in a circle. Its rotations are sorted once, within the shard, and its transform is the
-symbol (two bytes) before each rotation in that order. The merged order of all shards' rotations is refined from "one shard
-after the other": a stable sort of the shard numbers by the symbols in merged order gives the order by one symbol more. No
-rotation of one shard is ever compared with one of another. Alongside, a position begins a block in the round in which it
-first differs from its neighbour, which is the length of their common prefix; after ``DEPTH / 2`` rounds the blocks are the
+symbol before each rotation in that order. A symbol is a run of bytes; runs of four are numbered in order, as long as 16 bits
+hold the numbers, else runs of two are taken. The merged order of all shards' rotations is refined from "one shard after the
+other": a stable sort of the shard numbers by the symbols in merged order gives the order by one symbol more. No rotation of
+one shard is ever compared with one of another. Alongside, a position begins a block in the round in which it first differs
+from its neighbour, which is the length of their common prefix; when the symbols make ``DEPTH`` bytes, the blocks are the
 intervals of rotations whose first ``DEPTH`` bytes are equal.
 """
 
@@ -35,59 +36,64 @@ def rotations(data: np.ndarray) -> np.ndarray:
     return np.argsort(r32 * n + np.roll(r32, -(DEPTH - 32)), kind="stable")
 
 
-def transform(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted rotations of a shard and the two-byte symbol before each."""
-    order = rotations(data)
-    before = np.roll(data, 2).astype(np.uint16) << np.uint16(8) | np.roll(data, 1)
-    return order, before[order]
+def transform(data: np.ndarray) -> np.ndarray:
+    """Sorted rotations of a shard."""
+    return rotations(data)
 
 
-def merge(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of shards' transforms: the shard at each merged position, its rank there, and the block of each position after DEPTH bytes."""
-    sizes = [len(s) for s in symbols]
-    every = np.concatenate(symbols)
+def symbols_before(shards: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """Rounds of a merge, first to last: a symbol's width, and the symbol before each place of all shards' bytes (end to end).
+
+    The widths add up to DEPTH = 50."""
+    pair = np.concatenate([np.roll(d, 2).astype(np.uint16) << np.uint16(8) | np.roll(d, 1) for d in shards])
+    four = np.concatenate([np.roll(d, 4).astype(np.uint32) << np.uint32(24) | np.roll(d, 3).astype(np.uint32) << np.uint32(16) | np.roll(d, 2).astype(np.uint32) << np.uint32(8) | np.roll(d, 1) for d in shards])
+    known, number = np.unique(four, return_inverse=True)
+    if len(known) > 1 << 16:
+        return [(2, pair)] * (DEPTH // 2)
+    return [(2, pair), *[(4, number.astype(np.uint16))] * (DEPTH // 4)]
+
+
+def merge(orders: list[np.ndarray], rounds: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of shards' sorted rotations: the place (in the shards' bytes end to end) at each merged position, and its block after DEPTH bytes."""
+    sizes = [len(o) for o in orders]
     offsets = np.cumsum([0, *sizes])[:-1]
-    shard = np.repeat(np.arange(len(symbols), dtype=np.uint8), sizes)
-    source = np.arange(len(every))
-    block = np.zeros(len(every), dtype=np.int32)
-    for _ in range(DEPTH // 2):
-        now = every[source]
-        order = np.argsort(now, kind="stable")  # by counting, for two-byte symbols
-        now, block = now[order], block[order]
-        first = np.empty(len(now), dtype=np.int32)
-        first[:1] = 0
-        np.not_equal(now[1:], now[:-1], out=first[1:], casting="unsafe")
+    places = np.concatenate([o + b for o, b in zip(orders, offsets, strict=True)])
+    transforms = {width: symbols[places] for width, symbols in rounds}  # by rank within the shard
+    shard = np.repeat(np.arange(len(orders), dtype=np.uint8), sizes)
+    source = np.arange(len(places), dtype=np.int32)
+    runs = [np.arange(b, b + n, dtype=np.int32) for b, n in zip(offsets, sizes, strict=True)]
+    block = np.zeros(len(places), dtype=np.int32)
+    for width, _ in rounds:
+        now = transforms[width][source]
+        order = np.argsort(now, kind="stable")  # by counting, for 16 bits
+        now, block, shard = now[order], block[order], shard[order]
+        first = np.empty(len(now), dtype=bool)
+        first[:1] = False
+        np.not_equal(now[1:], now[:-1], out=first[1:])
         first[1:] |= block[1:] != block[:-1]
         block = np.cumsum(first, dtype=np.int32)
-        shard = shard[order]
-        for j, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
-            source[shard == j] = np.arange(offset, offset + size)
-    return shard, source - offsets[shard], block
-
-
-def least_owners(strings: list[bytes], owners: np.ndarray, shards: int = SHARDS) -> list[np.ndarray]:
-    """For each string and each of its windows of DEPTH bytes, the least owner of a string that holds the same window."""
-    cuts = np.linspace(0, len(strings), min(shards, len(strings)) + 1).astype(int)
-    orders, symbols, string_of, place_of = [], [], [], []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        sizes = np.array([len(x) for x in strings[a:b]])
-        order, before = transform(np.frombuffer(b"".join(strings[a:b]), np.uint8))
-        orders.append(order)
-        symbols.append(before)
-        own = np.repeat(np.arange(b - a), sizes)
-        string_of.append(own + a)
-        place_of.append(np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-    shard, rank, block = merge(symbols)
-    bases = np.cumsum([0, *map(len, orders)])[:-1]
-    at = np.concatenate([o + base for o, base in zip(orders, bases, strict=True)])[rank + bases[shard]]
-    string, place = np.concatenate(string_of)[at], np.concatenate(place_of)[at]
-    lengths = np.array([len(x) for x in strings])
-    valid = place + DEPTH <= lengths[string]
-    string, place, block = string[valid], place[valid], block[valid]
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, dtype=int)
-    least = np.minimum.reduceat(owners[string], starts) if len(starts) else np.zeros(0, np.int64)
-    windows = np.maximum(lengths - DEPTH + 1, 0)
-    begins = np.cumsum(windows) - windows
-    out = np.empty(int(windows.sum()), dtype=np.int64)
-    out[begins[string] + place] = np.repeat(least, np.diff(np.r_[starts, len(block)]))
-    return np.split(out, begins[1:])
+        for j, run in enumerate(runs):
+            source[shard == j] = run
+    return places[source], block
+
+
+def least_owners(data: np.ndarray, sizes: np.ndarray, owners: np.ndarray, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+    """For strings end to end in ``data``: of each window of DEPTH bytes, string by string, the least owner of a string that holds the
+    same window; and each string's number of windows."""
+    windows = np.maximum(sizes - DEPTH + 1, 0)
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.linspace(0, len(sizes), min(shards, len(sizes)) + 1).astype(int))
+    bounds = np.r_[0, ends][cuts]
+    parts = [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+    if not parts or not windows.any():
+        return np.zeros(0, np.int64), windows
+    place, block = merge([transform(d) for d in parts], symbols_before(parts))
+    string = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    inside = np.arange(len(data), dtype=np.int32) + DEPTH <= np.repeat(ends, sizes)
+    valid = inside[place]
+    place, block = place[valid], block[valid]
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    least = np.minimum.reduceat(owners[string[place]], starts)
+    out = np.empty(len(data), dtype=np.int64)
+    out[place] = np.repeat(least, np.diff(np.r_[starts, len(block)]))
+    return out[inside], windows

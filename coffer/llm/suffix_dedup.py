@@ -25,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coffer.llm import bwt, minimizers
-from coffer.llm.common import arrow, free, lookup, store
+from coffer.llm.common import SMALL_ROWS, arrow, discard, free, lookup, store
 from coffer.llm.minimizers import WINDOW
 
 GATHER = 64
+#: Minimizers that a task holds before it packs them.
+ENTRIES = 3_000_000
 #: Bytes of contexts whose shards are merged together.
-UNIT = 1_500_000
+UNIT = 1_000_000
 
 
 def _raw(column: pa.Array) -> list[bytes]:
@@ -42,81 +45,180 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (minimizer, document, row, first window) of all runs of windows with one minimizer."""
-    for batch in batches:
-        ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        doc, s, e, _, h = minimizers.of_texts(_raw(batch.column(2)))
-        for a in range(0, len(doc), 200_000):
-            b = slice(a, a + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[b].view(np.int64), ids[doc[b]].astype(np.int64), rows[doc[b]].astype(np.int64), s[b])], names=["mh", "doc", "row", "s"])
+def _groups(mh: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by mh, where its groups start, and for each whether it has two documents."""
+    order = np.argsort(mh, kind="stable")
+    starts = np.flatnonzero(np.r_[True, mh[order][1:] != mh[order][:-1]]) if len(mh) else np.zeros(0, dtype=np.int64)
+    d = doc[order]
+    return order, starts, np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts) if len(starts) else np.zeros(0, dtype=bool)
+
+
+def _pack(owners: np.ndarray, docs: np.ndarray, rows: np.ndarray, mh: np.ndarray, s: np.ndarray) -> bytes:
+    """Entries in few bytes: the documents once, then for each entry its document's number, minimizer and first window."""
+    used, number = np.unique(owners, return_inverse=True)
+    head = np.array([len(used), len(mh)], dtype="<i8")
+    return b"".join(x.tobytes() for x in (head, docs[used], rows[used], mh, number.astype("<u4"), s.astype("<u4")))
+
+
+def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
+    """Document, row, minimizer and first window of each entry."""
+    n, m = np.frombuffer(raw, "<i8", 2)
+    docs, rows = np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n, 16 + 8 * n)
+    at = 16 + 16 * n
+    mh, number, s = np.frombuffer(raw, "<i8", m, at), np.frombuffer(raw, "<u4", m, at + 8 * m), np.frombuffer(raw, "<u4", m, at + 12 * m)
+    return docs[number], rows[number], mh, s.astype(np.int64)
+
+
+def _minimizers(buckets: int):
+    """Rows (bucket, kind, packed entries). Kind 0: entries to compare with those of other tasks. Kind 1: one entry of each minimizer
+    that this task has found in two documents. Kind 2: all entries of those, which need no comparison and may go anywhere.
+    So a minimizer of very many documents sends one entry from each task to its bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            docs, rows = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            bases = np.cumsum([0, *(len(x[0]) for x in held)])
+            owner = np.concatenate([x[2] + b for x, b in zip(held, bases, strict=False)])
+            s, mh = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
+            order, starts, shared = _groups(mh, docs[owner])
+            known = np.repeat(shared, np.diff(np.r_[starts, len(mh)]))
+            named = np.zeros(len(mh), dtype=bool)
+            named[starts[shared]] = True
+            # Of high bits, as the minimum of many hashes has few of them set.
+            bucket = ((mh[order].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            spread = owner[order] % buckets
+            out: list[tuple] = []
+            for kind, use, by in ((0, ~known, bucket), (1, named, bucket), (2, known, spread)):
+                at = np.flatnonzero(use)
+                at = at[np.argsort(by[at] << 32 | owner[order][at], kind="stable")]
+                cuts = np.flatnonzero(by[at][1:] != by[at][:-1]) + 1
+                for part in np.split(at, cuts) if len(at) else []:
+                    e = order[part]
+                    out.append((int(by[part[0]]), kind, _pack(owner[e], docs, rows, mh[e], s[e])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "packed"])
+
+        for batch in batches:
+            ids, keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc, s, _, _, h = minimizers.of_texts(_raw(batch.column(2)))
+            held.append((ids, keys, doc, s, h.view(np.int64)))
+            size += len(doc)
+            if size >= ENTRIES:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    return run
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (minimizer, document, row, first window, context) of a document's repeated minimizers, from (document, row, text, places of the repeated ones)."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, first window) of minimizers in two documents, from the packed entries of a task's buckets."""
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def out(rows: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(rows), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[a : a + 200_000]), pa.array(s[a : a + 200_000])], names=["row", "s"])
+
     for batch in batches:
-        raw = _raw(batch.column(2))
-        doc, s, e, _, h = minimizers.of_texts(raw)
-        lists = batch.column(3)
-        owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        hits = np.unique(owner << 40 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-        hit = np.isin(doc << 40 | s, hits)
-        use = np.flatnonzero(hit)
-        ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for a in range(0, len(use), 50_000):
-            u = use[a : a + 50_000]
-            found = [raw[d][i : j + WINDOW] for d, i, j in zip(doc[u].tolist(), s[u].tolist(), e[u].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h[u].view(np.int64)), pa.array(ids[doc[u]].astype(np.int64)), pa.array(rows[doc[u]].astype(np.int64)), pa.array(s[u]), pa.array(found, pa.binary())], names=["mh", "doc", "row", "first", "context"])
+        for kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            doc, row, mh, s = _unpack(raw)
+            if kind == 2:
+                yield from out(row, s)
+            else:
+                parts.append((doc, row, mh, s, np.full(len(mh), kind == 1)))
+    if parts:
+        doc, row, mh, s, named = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, starts, shared = _groups(mh, doc)
+        shared |= np.logical_or.reduceat(named[order], starts)
+        hit = order[np.repeat(shared, np.diff(np.r_[starts, len(mh)])) & ~named[order]]
+        yield from out(row[hit], s[hit])
+
+
+def _contexts(whole: bool):
+    """Of a document's contexts at listed places, from (document, row, text, places): rows (minimizer, key of the context, document, row,
+    first window, windows), or if ``whole`` rows (minimizer, key, context)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = _raw(batch.column(2))
+            doc, s, e, _, h = minimizers.of_texts(raw)
+            lists = batch.column(3)
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            hits = owner << 40 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            use = np.flatnonzero(np.isin(doc << 40 | s, hits))
+            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            for a in range(0, len(use), 50_000):
+                u = use[a : a + 50_000]
+                found = [raw[d][i : j + WINDOW] for d, i, j in zip(doc[u].tolist(), s[u].tolist(), e[u].tolist(), strict=True)]
+                keys = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found)).view(np.int64)
+                head = [pa.array(h[u].view(np.int64)), pa.array(keys)]
+                if whole:
+                    yield pa.RecordBatch.from_arrays([*head, pa.array(found, pa.binary())], names=["mh", "ck", "context"])
+                else:
+                    numbers = [pa.array(x) for x in (ids[doc[u]].astype(np.int64), rows[doc[u]].astype(np.int64), s[u], e[u] - s[u] + 1)]
+                    yield pa.RecordBatch.from_arrays([*head, *numbers], names=["mh", "ck", "doc", "row", "first", "windows"])
+
+    return run
 
 
 def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (mh, ck, least): the least document of each window of each context; one number where it's the same for all.
 
     Rows (mh, ck, low, context) come sorted by mh; a unit of work ends between minimizers."""
-    held: list[tuple] = []
-    size = 0
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        mh = np.array([r[0] for r in rows], dtype=np.int64)
-        alone = np.r_[True, mh[1:] != mh[:-1]] & np.r_[mh[1:] != mh[:-1], True]
-        answers: list = [[r[2]] for r in rows]
-        many = np.flatnonzero(~alone)
-        if len(many):
-            found = bwt.least_owners([rows[i][3] for i in many], np.array([rows[i][2] for i in many], dtype=np.int64))
-            for i, x in zip(many.tolist(), found, strict=True):
-                answers[i] = x[:1] if (x == x[0]).all() else x
-        return pa.RecordBatch.from_arrays([pa.array(mh), pa.array([r[1] for r in rows], pa.int64()), pa.array(answers, pa.list_(pa.int64()))], names=["mh", "ck", "least"])
+    held: pa.Table | None = None
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        mh, ck, low = (rows.column(i).to_numpy() for i in range(3))
+        found = rows.column(3).combine_chunks()
+        found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+        bounds = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+        data = np.frombuffer(found.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        flat, n = bwt.least_owners(data, np.diff(bounds).astype(np.int64), low)
+        starts = np.cumsum(n) - n
+        same = np.minimum.reduceat(flat, starts) == np.maximum.reduceat(flat, starts)
+        keep = np.ones(len(flat), dtype=bool)
+        keep[np.repeat(same, n)] = False
+        keep[starts] = True
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(same, 1, n))].astype(np.int32)), pa.array(flat[keep]))
+        return pa.RecordBatch.from_arrays([pa.array(mh), pa.array(ck), lists], names=["mh", "ck", "least"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size >= UNIT and row[0] != held[-1][0]:
-                yield solve(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    if held:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        if held.column(3).nbytes >= UNIT:
+            mh = held.column(0).to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, mh[1:] != mh[:-1]])[-1])  # the last minimizer may go on
+            if cut:
+                yield solve(held.slice(0, cut))
+                held = held.slice(cut)
+    if held is not None and held.num_rows:
         yield solve(held)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, begin, end) of removed bytes, from (document, row, first window, number of windows, least documents)."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         doc, row, first, windows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        lists = batch.column(4)
-        n = lists.value_lengths().to_numpy(zero_copy_only=False)
-        whole = n == 1
-        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        n = batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = batch.column(4).flatten().to_numpy(zero_copy_only=False)
         starts = np.cumsum(n) - n
-        gone = np.flatnonzero(whole)[flat[starts[whole]] < doc[whole]]
-        rows, begins, ends = [row[gone]], [first[gone]], [first[gone] + windows[gone] - 1 + WINDOW]
-        for i in np.flatnonzero(~whole).tolist():
-            less = flat[starts[i] : starts[i] + n[i]] < doc[i]
-            edge = np.diff(np.r_[0, less.astype(np.int8), 0])
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            rows.append(np.full(len(a), row[i]))
-            begins.append(first[i] + a)
-            ends.append(first[i] + b - 1 + WINDOW)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (rows, begins, ends)], names=["row", "begin", "end"])
+        less = flat < np.repeat(doc, n)
+        # Runs of removed windows within a list: where they begin, and one past their end.
+        before, after = np.r_[False, less[:-1]], np.r_[less[1:], False]
+        before[starts] = False
+        after[starts[1:] - 1] = False
+        begin, last = np.flatnonzero(less & ~before), np.flatnonzero(less & ~after)
+        owner = np.searchsorted(starts, begin, side="right") - 1
+        a, b = begin - starts[owner], last - starts[owner]
+        b = np.where(n[owner] == 1, windows[owner] - 1, b)  # one number stands for all windows
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[owner], first[owner] + a, first[owner] + b + WINDOW)], names=["row", "begin", "end"])
 
 
 def united(intervals: list[dict] | None) -> list[tuple[int, int]]:
@@ -147,28 +249,44 @@ def removals(docs: DataFrame) -> DataFrame:
     copied = keyed.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("k", "low")
     copies = store(lookup(keyed, store(copied), "k", "inner").where("doc > low").select("row", F.col("k.size").alias("size")))
     searched = lookup(rows, copies.select("row").distinct(), "row", "left_anti").select("doc", "row", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Minimizers of two documents at least, and where they are.
-    places = arrow(searched, _minimizers, "mh long, doc long, row long, s long")
-    shared = store(places.groupBy("mh").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("mh"))
+    packed = arrow(searched, _minimizers(parts), "bucket int, kind int, packed binary").repartition(parts, "bucket").select("kind", "packed")
+    hits = store(arrow(packed, _shared, "row long, s long").groupBy("row").agg(F.collect_list("s").alias("hits")))
     free(spark)
-    hits = store(places.join(shared, "mh", "left_semi").select("row", "s").groupBy("row").agg(F.collect_list("s").alias("hits")))
+    found = store(arrow(_with_places(searched, hits), _contexts(False), "mh long, ck long, doc long, row long, first long, windows long"))
+    discard(hits)
     free(spark)
-    found = store(arrow(searched.join(hits, "row").select("doc", "row", "text", "hits"), _contexts, "mh long, doc long, row long, first long, context binary"))
+    # Distinct contexts by key, a place where each is, and how many each minimizer has.
+    some = F.xxhash64("row", "first")
+    one = [F.min_by(c, some).alias(c) for c in ("row", "first")]
+    distinct = store(found.groupBy("mh", "ck").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *one))
+    counted = distinct.groupBy("mh").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("mh", "n")
+    parted = store(distinct.join(counted, "mh").select("mh", "ck", "low", "n", "row", "first"))
+    discard(distinct)
     free(spark)
-    # Distinct contexts, and how many each minimizer has.
-    distinct = store(found.groupBy("mh", "context").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
-    counted = store(distinct.groupBy("mh").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("mh", "n"))
+    # Texts of contexts that must be compared.
+    wanted = store(parted.where("n > 1").groupBy("row").agg(F.collect_list("first").alias("hits")))
+    compared = store(arrow(_with_places(searched, wanted), _contexts(True), "mh long, ck long, context binary"))
     free(spark)
-    parted = distinct.join(counted, "mh").select("mh", F.xxhash64("context").alias("ck"), "low", "context", "n")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = parted.where(F.col("n") <= GATHER).select("mh", "ck", "low", "context").repartition(parts, "mh").sortWithinPartitions("mh")
-    least = arrow(few, _least, "mh long, ck long, least array<long>").unionByName(_crowded(parted.where(F.col("n") > GATHER)))
-    least = store(least)
+    few = parted.where((F.col("n") > 1) & (F.col("n") <= GATHER)).join(compared, ["mh", "ck"]).select("mh", "ck", "low", "context")
+    many = parted.where(F.col("n") > GATHER).join(compared, ["mh", "ck"]).select("mh", "ck", "low", "context")
+    least = parted.where("n = 1").select("mh", "ck", F.array("low").alias("least"))
+    least = least.unionByName(arrow(few.repartition(parts, "mh").sortWithinPartitions("mh"), _least, "mh long, ck long, least array<long>")).unionByName(_crowded(many))
+    least = store(least, SMALL_ROWS)
+    discard(parted, wanted, compared)
     free(spark)
-    answered = found.select("mh", F.xxhash64("context").alias("ck"), "doc", "row", "first", (F.length("context") - WINDOW + 1).cast("long").alias("windows")).join(least, ["mh", "ck"])
+    answered = found.select("mh", "ck", "doc", "row", "first", "windows").join(least, ["mh", "ck"])
     runs = arrow(answered.select("doc", "row", "first", "windows", "least"), _runs, "row long, begin long, end long")
     whole = copies.where(F.col("size") >= WINDOW).select("row", F.lit(0).cast("long").alias("begin"), F.col("size").cast("long").alias("end"))
-    return store(runs.unionByName(whole).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("runs")))
+    runs = store(runs.unionByName(whole).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("runs")), SMALL_ROWS)
+    discard(keyed, copies, found, least)
+    free(spark)
+    return runs
+
+
+def _with_places(searched: DataFrame, places: DataFrame) -> DataFrame:
+    return searched.join(places, "row").select("doc", "row", "text", "hits")
 
 
 def _crowded(parted: DataFrame) -> DataFrame:
@@ -179,7 +297,7 @@ def _crowded(parted: DataFrame) -> DataFrame:
     windows = windows.select("mh", "ck", "low", "place", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(2), F.col("window")).alias("w2"))
     first = store(windows.groupBy("w1", "w2").agg(F.min("low").alias("least")))
     joined = windows.drop("low").join(first, ["w1", "w2"])
-    return joined.groupBy("mh", "ck").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("least"))
+    return joined.groupBy("mh", "ck").agg(F.transform(F.sort_array(F.collect_set(F.struct("place", "least"))), lambda x: x["least"]).alias("least"))
 
 
 def row_key(doc: str, text: str):
