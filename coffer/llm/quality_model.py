@@ -166,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     return fit(many, np.array(marks, dtype=np.int64))
 
 
-def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (all if None) and ``score``, the probability of label 1."""
+def score(docs: DataFrame, model: Model, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``columns`` of ``docs`` (all if None) and, under a new name, the probability of label 1."""
     names = docs.columns if columns is None else columns
     kept = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("scored_text"))
     spark = docs.sparkSession
@@ -177,9 +177,9 @@ def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> Da
         own = Model(*sent.value)
         for batch in batches:
             found = own.scores([t.encode() for t in texts(batch.column(len(names)))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], names=[*names, name])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("score", "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add(name, "double")
     return arrow(kept, run, schema)
 
 
@@ -191,4 +191,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject."""
-    return score(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).drop("score")
+    name = max(docs.columns, key=len) + "_score"  # no column of theirs
+    return score(docs, train(docs, labels), name=name).where(F.col(name) >= THRESHOLD).drop(name)
