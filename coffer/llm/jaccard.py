@@ -173,6 +173,11 @@ def _sets(width: int):
     return run
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is dealt by key whatever its size, so plans and their disk use are the same for small and large tables."""
+    return df.hint("merge")
+
+
 class Join:
     """One join over ``docs``; the parts keep what they share."""
 
@@ -190,7 +195,7 @@ class Join:
         length = t.num * F.greatest(n, m) <= t.den * F.least(n, m)
         suffix = (t.num + t.den) * (n + m - differ) >= 2 * t.num * (n + m)
         passed = (F.col("cls") != F.col("cls_r")) & length & t.bound(overlap, n + m) & suffix
-        joined = left.join(right, (left["token"] == right["token"]) & (passed if more is None else passed & more))
+        joined = left.join(_dealt(right), (left["token"] == right["token"]) & (passed if more is None else passed & more))
         return joined.select(F.least("cls", "cls_r").alias("a"), F.greatest("cls", "cls_r").alias("b")).distinct()
 
     def verified(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -204,7 +209,7 @@ class Join:
         second = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
-        checked = pairs.join(first, "a").join(second, "b").select("a", "b", (self.threshold.den * common >= self.threshold.num * union).alias("linked"))
+        checked = _dealt(pairs).join(_dealt(first), "a").join(_dealt(second), "b").select("a", "b", (self.threshold.den * common >= self.threshold.num * union).alias("linked"))
         checked = cut(checked.distinct())
         free(self.spark)
         return checked
@@ -218,7 +223,7 @@ class Join:
         # Side by side in columns, the rows of a class take little more than their elements.
         prefixes = store(arrow(self.docs.select("text"), _prefixes(self.width, self.threshold, sent), "token long, cls long, n long, pos long, " + ", ".join(f"f{i} long" for i in range(SKETCH))))
         shared = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-        listed = store(prefixes.join(shared, "token"))
+        listed = store(prefixes.join(_dealt(shared), "token"))
         discard(prefixes)
         free(self.spark)
         # Round 1: the least and the greatest class of each posting list against the others.
@@ -232,11 +237,11 @@ class Join:
         labelled = store(lookup(lists, joined, "cls").withColumn("component", F.coalesce("component", "cls")))
         mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
         discard(listed)
-        across = store(labelled.join(mixed, "token", "left_semi").dropDuplicates(["token", "cls"]))
+        across = store(labelled.join(_dealt(mixed), "token", "left_semi").dropDuplicates(["token", "cls"]))
         discard(labelled)
         free(self.spark)
         pairs = self.candidates(across, across, (F.col("cls") < F.col("cls_r")) & (F.col("component") != F.col("component_r")))
-        pairs = cut(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        pairs = cut(pairs.join(_dealt(checked.select("a", "b")), ["a", "b"], "left_anti"))
         discard(across)
         edges = edges.unionByName(self.verified(pairs, found).where("linked").select("a", "b"))
         joined = cut(lookup(found, components(edges).withColumnRenamed("node", "k1"), "k1").withColumn("component", F.coalesce("component", "k1")))
