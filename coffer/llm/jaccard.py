@@ -7,12 +7,14 @@ candidates). Two classes above the threshold share a shingle of their prefixes.
 
 - the length filter: sizes within the threshold of each other;
 - the positional filter: what can follow the shared places suffices for the overlap that the threshold asks for;
-- the suffix filter: a bound on the sets' difference from ``SKETCH`` words of parities of their elements;
+- the suffix filter: a bound on the sets' difference from parities of their elements, of ``SKETCH`` words beside each prefix
+  element and then of ``WIDE`` words for each class;
 
-and are verified once, on the whole sets. To find the components of a large group of near copies without all its pairs,
-a first round joins each class of a posting list to the list's least and greatest class only. The second round joins classes of
-different components only; every pair that passes the filters is verified, so no link between components is lost. Both
-rounds are plain equi-joins whose hot keys Spark splits at run time; posting lists are never gathered.
+and are verified once, on the whole sets. To find the components of a large group of near copies without all its pairs, ``ROUNDS``
+first rounds take from each posting list a class of its least and one of its greatest component, and compare every other class
+with the one of them that it shares most lists with. The last round joins classes of different components only; every pair
+that passes the filters is verified, so no link between components is lost. All rounds are plain equi-joins whose hot keys
+Spark splits at run time; posting lists are never gathered.
 
 Null, empty or blank text has an empty set and links with nothing. Rows with one id but several texts count each as their own
 set under that id; rows whose id is null take the component of their set, which their id never names. Extra columns are
@@ -35,7 +37,8 @@ from coffer.llm.components import components
 
 #: Counters of shingle frequencies, and segments that they're summed and sent in.
 COUNTERS, SEGMENTS = 1 << 18, 64
-SKETCH = 4
+SKETCH, WIDE = 4, 32
+ROUNDS = 2
 
 _SEEN_CLASSES = 200_000
 
@@ -111,23 +114,27 @@ class Threshold:
         """Whether sets of so many elements together can be similar with an overlap of at most so much."""
         return (self.num + self.den) * overlap >= self.num * total
 
+    def near(self, differ: Column, total: Column) -> Column:
+        """Whether sets of so many elements together can be similar if at least so many are in one of them only."""
+        return (self.num + self.den) * (total - differ) >= 2 * self.num * total
 
-def parities(items: np.ndarray) -> list[int]:
-    """A set's sketch: of ``64 * SKETCH`` bits, each the parity of the number of elements that fall there."""
-    place = (mix(items + np.uint64(77)) >> np.uint64(64 - 6 - (SKETCH - 1).bit_length())).astype(np.int64)
-    bits = (np.bincount(place, minlength=64 * SKETCH) & 1).astype(np.uint8)
+
+def parities(items: np.ndarray, words: int = SKETCH) -> list[int]:
+    """A set's sketch: of ``64 * words`` bits, each the parity of the number of elements that fall there."""
+    place = (mix(items + np.uint64(77)) >> np.uint64(64 - 6 - (words - 1).bit_length())).astype(np.int64)
+    bits = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(bits).view(">i8").tolist()
 
 
 def _prefixes(width: int, threshold: Threshold, sent):
-    """Rows of the prefix elements of each class that a partition holds: element, class, size, place, sketch."""
-    names = ["token", "cls", "n", "pos", *(f"f{i}" for i in range(SKETCH))]
+    """Rows of the prefix elements of each class that a partition holds: element, class, size, place, sketch; with its first, the wide sketch."""
+    names = ["token", "cls", "n", "pos", *(f"f{i}" for i in range(SKETCH)), "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         seen: set[int] = set()
         for batch in batches:
-            tokens, owners, sizes, places, sketches = [], [], [], [], []
+            tokens, owners, sizes, places, sketches, wide = [], [], [], [], [], []
             for t in texts(batch.column(0)):
                 items = shingles(t, width)
                 if not len(items):
@@ -149,13 +156,15 @@ def _prefixes(width: int, threshold: Threshold, sent):
                 owners.append(key)
                 sizes.append(len(items))
                 sketches.append(parities(items))
+                wide.append(parities(items, WIDE))
+                wide.extend([None] * (p - 1))
                 places.append(p)
             each = np.array(places, dtype=np.int64)
             total = int(each.sum())
             pos = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
             flat = np.array(sketches, dtype=np.int64).reshape(-1, SKETCH)
             columns = [np.concatenate(tokens) if tokens else np.zeros(0, np.int64), np.repeat(np.array(owners, np.int64), each), np.repeat(np.array(sizes, np.int64), each), pos, *(np.repeat(flat[:, i], each) for i in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(wide, pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -186,17 +195,23 @@ class Join:
         self.docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
         self.spark = docs.sparkSession
 
-    def candidates(self, left: DataFrame, right: DataFrame, more: Column | None = None) -> DataFrame:
-        """Distinct pairs (a < b) of classes with a common prefix element that pass the filters; columns of ``right`` end with _r."""
+    def candidates(self, left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
+        """Rows (cls, cls_r) for each prefix element that two classes share and at which they pass the filters; columns of ``right`` end with _r."""
         right = right.select(*[F.col(c).alias(c if c == "token" else f"{c}_r") for c in right.columns])
         n, m, t = F.col("n"), F.col("n_r"), self.threshold
         overlap = F.least("pos", "pos_r") + 1 + F.least(n - F.col("pos"), m - F.col("pos_r")) - 1
         differ = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_r"))) for i in range(1, SKETCH)), F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_r"))))
         length = t.num * F.greatest(n, m) <= t.den * F.least(n, m)
-        suffix = (t.num + t.den) * (n + m - differ) >= 2 * t.num * (n + m)
-        passed = (F.col("cls") != F.col("cls_r")) & length & t.bound(overlap, n + m) & suffix
-        joined = left.join(_dealt(right), (left["token"] == right["token"]) & (passed if more is None else passed & more))
-        return joined.select(F.least("cls", "cls_r").alias("a"), F.greatest("cls", "cls_r").alias("b")).distinct()
+        passed = (F.col("cls") != F.col("cls_r")) & length & t.bound(overlap, n + m) & t.near(differ, n + m)
+        return left.join(_dealt(right), (left["token"] == right["token"]) & passed & more).select("cls", "cls_r")
+
+    def narrowed(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+        """Of distinct pairs (a < b), those whose wide sketches allow the threshold."""
+        first = sketches.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("wide").alias("x"))
+        second = sketches.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
+        differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        joined = _dealt(pairs).join(_dealt(first), "a").join(_dealt(second), "b")
+        return joined.where(self.threshold.near(differ, F.col("n") + F.col("m"))).select("a", "b")
 
     def verified(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """``pairs`` (checkpointed) with ``linked``, by whole sets. ``found``: classes with a document of each."""
@@ -221,30 +236,44 @@ class Join:
         found = cut(rows.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep")))
         sent = self.spark.sparkContext.broadcast(frequencies(keyed))
         # Side by side in columns, the rows of a class take little more than their elements.
-        prefixes = store(arrow(self.docs.select("text"), _prefixes(self.width, self.threshold, sent), "token long, cls long, n long, pos long, " + ", ".join(f"f{i} long" for i in range(SKETCH))))
-        shared = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-        listed = store(prefixes.join(_dealt(shared), "token"))
+        schema = "token long, cls long, n long, pos long, " + ", ".join(f"f{i} long" for i in range(SKETCH)) + ", wide array<long>"
+        prefixes = store(arrow(self.docs.select("text"), _prefixes(self.width, self.threshold, sent), schema))
+        shared = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
+        listed = store(prefixes.drop("wide").join(_dealt(shared), "token", "left_semi"))
+        sketches = store(prefixes.where("wide is not null").select("cls", "n", "wide"))
         discard(prefixes)
         free(self.spark)
-        # Round 1: the least and the greatest class of each posting list against the others.
-        lists = listed.drop("low", "high")
-        ends = listed.where("cls = low or cls = high").drop("low", "high").dropDuplicates(["token", "cls"])
-        pairs = cut(self.candidates(lists, ends))
-        checked = self.verified(pairs, found)
-        edges = checked.where("linked").select("a", "b")
-        joined = components(edges).withColumnRenamed("node", "cls")
-        # Round 2: classes of different components that share a prefix element.
-        labelled = store(lookup(lists, joined, "cls").withColumn("component", F.coalesce("component", "cls")))
-        mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        discard(listed)
-        across = store(labelled.join(_dealt(mixed), "token", "left_semi").dropDuplicates(["token", "cls"]))
-        discard(labelled)
-        free(self.spark)
-        pairs = self.candidates(across, across, (F.col("cls") < F.col("cls_r")) & (F.col("component") != F.col("component_r")))
-        pairs = cut(pairs.join(_dealt(checked.select("a", "b")), ["a", "b"], "left_anti"))
-        discard(across)
-        edges = edges.unionByName(self.verified(pairs, found).where("linked").select("a", "b"))
-        joined = cut(lookup(found, components(edges).withColumnRenamed("node", "k1"), "k1").withColumn("component", F.coalesce("component", "k1")))
+        checked: DataFrame | None = None
+        joined = None
+        pair = [F.least("cls", "cls_r").alias("a"), F.greatest("cls", "cls_r").alias("b")]
+        apart = F.col("component") != F.col("component_r")
+        for turn in range(ROUNDS + 1):
+            if joined is None:
+                labelled = listed.withColumn("component", F.col("cls"))
+            else:
+                labelled = store(lookup(listed, joined, "cls").withColumn("component", F.coalesce("component", "cls")))
+            ends = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("cls", "component").alias("low_cls"), F.max_by("cls", "component").alias("high_cls")).where("low < high")
+            mixed = store(labelled.join(_dealt(ends), "token"))
+            posted = mixed.drop("low", "high", "low_cls", "high_cls")
+            if turn < ROUNDS:
+                pivots = mixed.where("cls = low_cls or cls = high_cls").drop("low", "high", "low_cls", "high_cls").dropDuplicates(["token", "cls"])
+                counted = self.candidates(posted, pivots, apart).groupBy("cls", "cls_r").agg(F.count("*").alias("lists"))
+                pairs = counted.groupBy("cls").agg(F.max_by("cls_r", "lists").alias("cls_r")).select(*pair).distinct()
+            else:
+                once = posted.dropDuplicates(["token", "cls"])
+                pairs = self.candidates(once, once, apart & (F.col("cls") < F.col("cls_r"))).select(*pair).distinct()
+            if checked is not None:
+                pairs = pairs.join(_dealt(checked.select("a", "b")), ["a", "b"], "left_anti")
+            pairs = cut(self.narrowed(cut(pairs), sketches))
+            discard(mixed, *([labelled] if joined is not None else []))
+            free(self.spark)
+            new = self.verified(pairs, found)
+            checked = new if checked is None else cut(checked.unionByName(new))
+            edges = checked.where("linked").select("a", "b")
+            joined = components(edges).withColumnRenamed("node", "cls")
+        discard(listed, sketches)
+        joined = joined.withColumnRenamed("cls", "k1")
+        joined = cut(lookup(found, joined, "k1").withColumn("component", F.coalesce("component", "k1")))
         least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
         named = cut(lookup(joined.select("k1", "component"), cut(least), "component").select("k1", "component_id"))
         out = lookup(rows, named, "k1")
@@ -267,4 +296,5 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> Dat
 
 
 def _of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return lookup(docs.withColumn("kept_id", F.col("doc_id").cast("long")), kept.select("kept_id"), "kept_id", "left_semi").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").cast("long").alias("kept_id"))
+    return lookup(rows, kept.select("kept_id"), "kept_id", "left_semi").select("whole.*")
