@@ -33,7 +33,7 @@ from coffer.llm import bwt, minimizers
 from coffer.llm.common import SMALL_ROWS, arrow, discard, free, lookup, store
 from coffer.llm.minimizers import WINDOW
 
-GATHER = 64
+GATHER = 256
 #: Minimizers that a task holds before it packs them.
 ENTRIES = 3_000_000
 #: Bytes of contexts whose shards are merged together.
@@ -306,10 +306,10 @@ def row_key(doc: str, text: str):
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``removed_runs``."""
-    found = removals(docs).select(F.col("row").alias("removed_row"), F.col("runs").alias("removed_runs"))
-    key = F.when(F.col("doc_id").isNotNull(), row_key("doc_id", "text"))
-    return docs.withColumn("removal_key", key).join(found, F.col("removal_key") == F.col("removed_row"), "left").drop("removal_key", "removed_row")
+    """A struct of ``docs``' columns, whatever their names, and the intervals that it loses."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    key = F.when(F.col("doc_id").isNotNull(), row_key("doc_id", "text")).alias("row")
+    return docs.select(row, key).join(removals(docs), "row", "left").select("whole", "runs")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -325,14 +325,14 @@ def report(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return arrow(rows.select("doc_id", "text", "removed_runs"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow(rows.select("whole.doc_id", "whole.text", "runs"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages of ``text``; ``n_chars``, if there, is counted again. Other columns stay."""
     names = docs.columns
     at = names.index("text")
-    rows = _joined(docs).select(*[F.col(f"`{c}`") for c in names], "removed_runs")
+    rows = _joined(docs).select("whole.*", F.col("runs").alias(max(names, key=len) + "_runs"))  # no column of theirs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
