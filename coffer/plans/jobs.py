@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.functions import codec, files, keys, password
+from coffer.functions import chacha, codec, files, keys, password
 from coffer.model import MANIFEST_NAME, NONCE_SIZE, SALT_SIZE, Cipher, CompressionMode, NameMode, Operation, Request, Result
 from coffer.operators import catalog as ops
 from coffer.operators import validation
@@ -98,17 +98,23 @@ def _key(request: Request, salt: Column) -> Column:
     return run(salt)
 
 
+def _ciphers(cipher: Cipher):
+    """Column functions that seal and open."""
+    known = {Cipher.AES: (keys.aes_seal, keys.aes_open), Cipher.CHACHA20: (chacha.seal, chacha.unseal)}
+    if cipher not in known:
+        raise manifest.Unsupported(f"{cipher.name} isn't supported")
+    return known[cipher]
+
+
 def _sealed(tree: DataFrame, request: Request) -> DataFrame:
     """``tree`` with output, salt and nonce."""
     content, mode = F.col("content"), request.compression
     if not request.use_encryption:
         empty = F.lit(bytearray()).cast("binary")
         return tree.withColumns({"output": codec.file_payload(content, mode), "salt": empty, "nonce": empty})
-    if request.cipher != Cipher.AES:
-        raise ValueError(f"{request.cipher.name} isn't supported")
     with_key = tree.join(_secrets(tree), "relative_path").withColumn("key", _key(request, F.col("salt"))).withColumn("packed", codec.compress(mode)(content))
     data = files.associated_data(F.col("salt"), F.col("nonce"), F.lit(int(mode)))
-    return with_key.withColumn("output", keys.aes_seal(F.col("packed"), F.col("key"), F.col("nonce"), data)).drop("key", "packed")
+    return with_key.withColumn("output", _ciphers(request.cipher)[0](F.col("packed"), F.col("key"), F.col("nonce"), data)).drop("key", "packed")
 
 
 def _named(tree: DataFrame, request: Request) -> DataFrame:
@@ -159,7 +165,7 @@ def _opened(backup: DataFrame, entries: DataFrame, header: dict, request: Reques
     mode = header["compression"]
     if sealed:
         data = files.associated_data(F.col("salt"), F.col("nonce"), F.lit(int(mode)))
-        rows = rows.withColumn("key", _key(request, F.col("salt"))).withColumn("plain", keys.aes_open(F.col("content"), F.col("key"), F.col("nonce"), data))
+        rows = rows.withColumn("key", _key(request, F.col("salt"))).withColumn("plain", _ciphers(request.cipher)[1](F.col("content"), F.col("key"), F.col("nonce"), data))
         return rows.select("destination", "size", (codec.decompress(F.col("plain")) if mode else F.col("plain")).alias("output"))
     marked = files.magic(F.col("content")).isNotNull() & (F.col("relative_path") != F.col("destination"))
     frame = F.when(marked, F.substring(F.col("content"), F.lit(5), F.length("content")))
@@ -234,7 +240,7 @@ def run(spark: SparkSession, request: Request) -> Result:
     job = {Operation.ENCRYPT: _create, Operation.DECRYPT: _restore, Operation.UPDATE: _update}[request.operation]
     try:
         return dataclasses.replace(job(spark, request), warnings=tuple(found))
-    except manifest.WrongPassword as e:
+    except (manifest.WrongPassword, manifest.Unsupported) as e:
         return Result(False, errors=(str(e),), warnings=tuple(found))
 
 

@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.functions import keys
+from coffer.functions import chacha, keys
 from coffer.model import HEADER_SIZE, MANIFEST_NAME, NONCE_SIZE, SALT_SIZE, Cipher, CompressionMode, KeyDerivation, NameMode
 
 SCHEMA = "relative_path string, original_path string, salt binary, nonce binary, source_hash string, position long"
@@ -26,6 +26,10 @@ class WrongPassword(ValueError):
     """The tag of a sealed manifest doesn't fit."""
 
 
+class Unsupported(ValueError):
+    """An algorithm that isn't there yet."""
+
+
 def kind_of(root: str) -> str:
     """``none``, ``plain`` or ``sealed``, by the first byte."""
     path = Path(root, MANIFEST_NAME)
@@ -37,7 +41,7 @@ def kind_of(root: str) -> str:
 
 def derivation(kind: KeyDerivation) -> str:
     if kind not in _DERIVED:
-        raise ValueError(f"{kind.name} isn't supported")
+        raise Unsupported(f"{kind.name} isn't supported")
     return _DERIVED[kind]
 
 
@@ -46,19 +50,24 @@ def _one(spark: SparkSession, raw: bytes, column) -> bytes | None:
     return None if value is None else bytes(value)
 
 
-def seal(spark: SparkSession, raw: bytes, password: str, kind: KeyDerivation) -> bytes:
+def seal(spark: SparkSession, raw: bytes, password: str, kind: KeyDerivation, cipher: Cipher = Cipher.AES) -> bytes:
     head = os.urandom(SALT_SIZE + NONCE_SIZE) + b"\0"
     key = keys.derive_key(derivation(kind), password, head[:SALT_SIZE])
+    if cipher == Cipher.CHACHA20:
+        return head + chacha.seal_bytes(raw, key, head[SALT_SIZE:-1], head)
     column = keys.aes_seal(F.col("content"), F.lit(bytearray(key)), F.lit(bytearray(head[SALT_SIZE:-1])), F.lit(bytearray(head)))
     return head + _one(spark, raw, column)
 
 
-def unseal(spark: SparkSession, raw: bytes, password: str, kind: KeyDerivation) -> bytes:
+def unseal(spark: SparkSession, raw: bytes, password: str, kind: KeyDerivation, cipher: Cipher = Cipher.AES) -> bytes:
     if len(raw) < HEADER_SIZE:
         raise ValueError("the payload is too short")
     head, body = raw[:HEADER_SIZE], raw[HEADER_SIZE:]
     key = keys.derive_key(derivation(kind), password, head[:SALT_SIZE])
-    out = _one(spark, body, keys.aes_open(F.col("content"), F.lit(bytearray(key)), F.lit(bytearray(head[SALT_SIZE:-1])), F.lit(bytearray(head))))
+    if cipher == Cipher.CHACHA20:
+        out = chacha.open_bytes(body, key, head[SALT_SIZE:-1], head)
+    else:
+        out = _one(spark, body, keys.aes_open(F.col("content"), F.lit(bytearray(key)), F.lit(bytearray(head[SALT_SIZE:-1])), F.lit(bytearray(head))))
     if out is None:
         raise WrongPassword("wrong password, or the data was changed")
     return out
@@ -73,9 +82,9 @@ def read(spark: SparkSession, root: str, password: str = "") -> tuple[dict, Data
     if raw[:1] != b"{":
         if len(raw) < 2 or raw[0] not in list(Cipher) or raw[1] not in list(KeyDerivation):
             return None
-        if raw[0] != Cipher.AES:
-            raise ValueError(f"{Cipher(raw[0]).name} isn't supported")
-        raw = unseal(spark, raw[2:], password, KeyDerivation(raw[1]))
+        if raw[0] not in (Cipher.AES, Cipher.CHACHA20):
+            raise Unsupported(f"{Cipher(raw[0]).name} isn't supported")
+        raw = unseal(spark, raw[2:], password, KeyDerivation(raw[1]), Cipher(raw[0]))
     try:
         document = json.loads(raw)
         header = {k: kind(document[name]) for k, (name, kind) in HEADER.items()}
@@ -96,7 +105,7 @@ def write(spark: SparkSession, root: str, header: dict, entries: DataFrame, pass
     document = {name: int(header[k]) for k, (name, _) in HEADER.items()} | {"Entries": found}
     raw = json.dumps(document, ensure_ascii=False).encode()
     if password:
-        raw = bytes([header["cipher"], header["key_derivation"]]) + seal(spark, raw, password, header["key_derivation"])
+        raw = bytes([header["cipher"], header["key_derivation"]]) + seal(spark, raw, password, header["key_derivation"], header["cipher"])
     target = Path(root, MANIFEST_NAME)
     target.parent.mkdir(parents=True, exist_ok=True)
     temporary = target.with_suffix(".part")

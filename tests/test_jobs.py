@@ -4,8 +4,8 @@ import dataclasses
 
 import pytest
 
-from coffer.functions import codec
-from coffer.model import CompressionMode, NameMode, Operation, Request
+from coffer.functions import chacha, codec
+from coffer.model import Cipher, CompressionMode, KeyDerivation, NameMode, Operation, Request
 from coffer.plans import jobs
 from coffer.sources import manifest, trees
 
@@ -85,3 +85,21 @@ def test_codec():
         raw = b"AAAAABBBBBCCCCC" * 200
         assert len(codec.compress_bytes(raw, mode)) < len(raw) and codec.decompress_bytes(codec.compress_bytes(raw, mode)) == raw
         assert codec.decompress_bytes(codec.compress_bytes(b"", mode)) == b""
+
+
+def test_chacha_vector():
+    """RFC 8439, 2.8.2."""
+    key, nonce, data = bytes(range(0x80, 0xA0)), bytes.fromhex("070000004041424344454647"), bytes.fromhex("50515253c0c1c2c3c4c5c6c7")
+    text = b"Ladies and Gentlemen of the class of '99: If I could offer you only one tip for the future, sunscreen would be it."
+    sealed = chacha.seal_bytes(text, key, nonce, data)
+    assert sealed[:16].hex() == "d31a8d34648e60db7b86afbc53ef7ec2" and sealed[-16:].hex() == "1ae10b594f09e26a7e902ecbd0600691"
+    assert chacha.open_bytes(sealed, key, nonce, data) == text and chacha.open_bytes(sealed, key, nonce, b"") is None
+    assert chacha.open_bytes(chacha.seal_bytes(b"", key, nonce, data), key, nonce, data) == b""
+
+
+def test_other_cipher(spark, tmp_path):
+    put(tmp_path / "src", {"a": b"one", "b/c": b"two" * 1000})
+    assert jobs.run(spark, request(tmp_path / "src", tmp_path / "out", cipher=Cipher.CHACHA20, key_derivation=KeyDerivation.SCRYPT, compression=CompressionMode.ZSTD)).success
+    assert jobs.run(spark, request(tmp_path / "out", tmp_path / "back", operation=Operation.DECRYPT)).success
+    assert got(tmp_path / "back") == {"a": b"one", "b/c": b"two" * 1000}
+    assert "SERPENT" in jobs.run(spark, request(tmp_path / "src", tmp_path / "o2", cipher=Cipher.SERPENT)).errors[0]
