@@ -11,7 +11,7 @@ candidates). Two classes above the threshold share a shingle of their prefixes.
   element and then of ``WIDE`` words for each class;
 
 and are verified once, on the whole sets. To find the components of a large group of near copies without all its pairs, ``ROUNDS``
-first rounds take from each posting list a class of its least and one of its greatest component, and compare every other class
+first rounds take from each posting list a class of its least component, then of its greatest, and compare every other class
 with the one of them that it shares most lists with. The last round joins classes of different components only; every pair
 that passes the filters is verified, so no link between components is lost. All rounds are plain equi-joins whose hot keys
 Spark splits at run time; posting lists are never gathered.
@@ -252,11 +252,16 @@ class Join:
                 labelled = listed.withColumn("component", F.col("cls"))
             else:
                 labelled = store(lookup(listed, joined, "cls").withColumn("component", F.coalesce("component", "cls")))
-            ends = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("cls", "component").alias("low_cls"), F.max_by("cls", "component").alias("high_cls")).where("low < high")
-            mixed = store(labelled.join(_dealt(ends), "token"))
-            posted = mixed.drop("low", "high", "low_cls", "high_cls")
+            few = labelled
+            if turn < ROUNDS:  # of long documents' elements some, the same ones in near copies: the last round takes all
+                step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col("n") / 128, F.lit(1.0))))).cast("long")
+                few = labelled.where(F.col("token").bitwiseAND(step - 1) == 0)
+            end = F.min_by("cls", "component") if turn % 2 == 0 else F.max_by("cls", "component")
+            ends = few.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), end.alias("end")).where("low < high").select("token", "end")
+            mixed = store(few.join(_dealt(ends), "token"))
+            posted = mixed.drop("end")
             if turn < ROUNDS:
-                pivots = mixed.where("cls = low_cls or cls = high_cls").drop("low", "high", "low_cls", "high_cls").dropDuplicates(["token", "cls"])
+                pivots = mixed.where("cls = end").drop("end").dropDuplicates(["token", "cls"])
                 counted = self.candidates(posted, pivots, apart).groupBy("cls", "cls_r").agg(F.count("*").alias("lists"))
                 pairs = counted.groupBy("cls").agg(F.max_by("cls_r", "lists").alias("cls_r")).select(*pair).distinct()
             else:
