@@ -262,21 +262,21 @@ def removals(docs: DataFrame) -> DataFrame:
     one = [F.min_by(c, some).alias(c) for c in ("row", "first")]
     distinct = store(found.groupBy("mh", "ck").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *one))
     counted = distinct.groupBy("mh").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("mh", "n")
-    parted = store(distinct.join(counted, "mh").select("mh", "ck", "low", "n", "row", "first"))
+    parted = store(distinct.join(_keyed(counted), "mh").select("mh", "ck", "low", "n", "row", "first"))
     discard(distinct)
     free(spark)
     # Texts of contexts that must be compared.
     wanted = store(parted.where("n > 1").groupBy("row").agg(F.collect_list("first").alias("hits")))
     compared = store(arrow(_with_places(searched, wanted), _contexts(True), "mh long, ck long, context binary"))
     free(spark)
-    few = parted.where((F.col("n") > 1) & (F.col("n") <= GATHER)).join(compared, ["mh", "ck"]).select("mh", "ck", "low", "context")
-    many = parted.where(F.col("n") > GATHER).join(compared, ["mh", "ck"]).select("mh", "ck", "low", "context")
+    few = parted.where((F.col("n") > 1) & (F.col("n") <= GATHER)).join(_keyed(compared), ["mh", "ck"]).select("mh", "ck", "low", "context")
+    many = parted.where(F.col("n") > GATHER).join(_keyed(compared), ["mh", "ck"]).select("mh", "ck", "low", "context")
     least = parted.where("n = 1").select("mh", "ck", F.array("low").alias("least"))
     least = least.unionByName(arrow(few.repartition(parts, "mh").sortWithinPartitions("mh"), _least, "mh long, ck long, least array<long>")).unionByName(_crowded(many))
     least = store(least, SMALL_ROWS)
     discard(parted, wanted, compared)
     free(spark)
-    answered = found.select("mh", "ck", "doc", "row", "first", "windows").join(least, ["mh", "ck"])
+    answered = found.select("mh", "ck", "doc", "row", "first", "windows").join(_keyed(least), ["mh", "ck"])
     runs = arrow(answered.select("doc", "row", "first", "windows", "least"), _runs, "row long, begin long, end long")
     whole = copies.where(F.col("size") >= WINDOW).select("row", F.lit(0).cast("long").alias("begin"), F.col("size").cast("long").alias("end"))
     runs = store(runs.unionByName(whole).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("runs")), SMALL_ROWS)
@@ -285,8 +285,13 @@ def removals(docs: DataFrame) -> DataFrame:
     return runs
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """A side of a join with one row per key: it's hashed, so the other side, with its texts or many rows, needn't be sorted."""
+    return df.hint("shuffle_hash")
+
+
 def _with_places(searched: DataFrame, places: DataFrame) -> DataFrame:
-    return searched.join(places, "row").select("doc", "row", "text", "hits")
+    return searched.join(_keyed(places), "row").select("doc", "row", "text", "hits")
 
 
 def _crowded(parted: DataFrame) -> DataFrame:
@@ -296,7 +301,7 @@ def _crowded(parted: DataFrame) -> DataFrame:
     windows = parted.select("mh", "ck", "low", F.posexplode(F.transform(place, lambda i: F.substring(F.col("context"), i, F.lit(WINDOW)))).alias("place", "window"))
     windows = windows.select("mh", "ck", "low", "place", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(2), F.col("window")).alias("w2"))
     first = store(windows.groupBy("w1", "w2").agg(F.min("low").alias("least")))
-    joined = windows.drop("low").join(first, ["w1", "w2"])
+    joined = windows.drop("low").join(_keyed(first), ["w1", "w2"])
     return joined.groupBy("mh", "ck").agg(F.transform(F.sort_array(F.collect_set(F.struct("place", "least"))), lambda x: x["least"]).alias("least"))
 
 
@@ -309,7 +314,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     """A struct of ``docs``' columns, whatever their names, and the intervals that it loses."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     key = F.when(F.col("doc_id").isNotNull(), row_key("doc_id", "text")).alias("row")
-    return docs.select(row, key).join(removals(docs), "row", "left").select("whole", "runs")
+    return docs.select(row, key).join(_keyed(removals(docs)), "row", "left").select("whole", "runs")
 
 
 def report(docs: DataFrame) -> DataFrame:
