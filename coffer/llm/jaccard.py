@@ -37,7 +37,7 @@ from coffer.llm.components import components
 
 #: Counters of shingle frequencies, and segments that they're summed and sent in.
 COUNTERS, SEGMENTS = 1 << 18, 64
-SKETCH, WIDE = 4, 32
+SKETCH, WIDE = 4, 64
 ROUNDS = 2
 
 _SEEN_CLASSES = 200_000
