@@ -35,7 +35,7 @@ from coffer.llm.minimizers import WINDOW
 
 GATHER = 256
 #: Minimizers that a task holds before it packs them.
-ENTRIES = 3_000_000
+ENTRIES = 800_000
 #: Bytes of contexts whose shards are merged together.
 UNIT = 1_000_000
 
