@@ -3,7 +3,7 @@
 A first pass parses each page into elements and merges the trees of a host: an element's place is its path of tags, classes
 and ids from the root. For each place of a host, and of all hosts together, the entropies of its contents and of its child
 sequences over the pages are computed by aggregation; divided by the logarithm of the number of pages they are its importance
-(1: differs on every page, 0: always the same). Hosts with fewer than ``PAGES`` pages at a place take that of all hosts. A
+(1: differs on every page, 0: always the same). Equal pages of a host count once. Hosts with fewer than ``PAGES`` pages at a place take that of all hosts. A
 second pass drops, from each page, branches whose place is unimportant, and those whose tag or class names menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or comments. Inside an ``article`` or ``main`` element only the
 names count: a text that many pages copy is still their text. If a page has such elements, only they are read.
@@ -57,12 +57,12 @@ def host(url: str | None) -> str:
 
 
 class Node:
-    """An open element: its place, whether it gives no text, whether it is in main content."""
+    """An open element: its place, whether it gives no text by its names or by its importance, whether it is in main content."""
 
-    __slots__ = ("main", "noise", "parts", "place", "tag")
+    __slots__ = ("dropped", "main", "noise", "parts", "place", "tag")
 
-    def __init__(self, tag: str, place: int, noise: bool, main: bool):
-        self.tag, self.place, self.noise, self.main = tag, place, noise, main
+    def __init__(self, tag: str, place: int, noise: bool, dropped: bool, main: bool):
+        self.tag, self.place, self.noise, self.dropped, self.main = tag, place, noise, dropped, main
         self.parts: list[str] = []  # texts, and digests of inner elements
 
 
@@ -84,8 +84,9 @@ def _place(parent: int, tag: str, attributes: str) -> tuple[int, bool]:
 def walk(html: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[str, bool]], dict[int, tuple[list[str], list[str]]]]:
     """Blocks of text as (text, in main content), and for each place its elements' digests and child tags.
 
-    Branches that are noise by name, or at a dropped place outside main content, give no blocks."""
-    root = Node("", 0, False, False)
+    Branches that are noise by name, or at a dropped place outside main content, give no blocks. Main content within a dropped
+    place isn't dropped with it, and html and body never are."""
+    root = Node("", 0, False, False, False)
     stack, blocks, line = [root], [], []
     seen: dict[int, tuple[list[str], list[str]]] = {}
     at, n = 0, len(html)
@@ -96,7 +97,7 @@ def walk(html: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[s
         top = stack[-1]
         text = entities.unescape(raw) if "&" in raw else raw
         top.parts.append(text)
-        if not top.noise:
+        if not (top.noise or top.dropped):
             line.append(text)
 
     def flush() -> None:
@@ -175,7 +176,8 @@ def walk(html: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[s
         if tag == "header" and parent.main:  # an article's own head holds its title
             named = False
         main = parent.main or tag in MAIN_TAGS and not named
-        stack.append(Node(tag, place, parent.noise or named or (place in dropped and not main), main))
+        out = not main and (parent.dropped or place in dropped and tag not in ("html", "body"))
+        stack.append(Node(tag, place, parent.noise or named, out, main))
     close(1)
     flush()
     return blocks, seen
@@ -189,16 +191,16 @@ def main_text(html: str | None, dropped: frozenset[int] = frozenset()) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, place, kind, value): kind 0 is a place's text, 1 its child tags."""
+    """Rows (host, place, kind, value, page): kind 0 is a place's text, 1 its child tags; equal pages have the same key."""
     for batch in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = host(url)
+            own, key = host(url), xxhash.xxh3_64_intdigest(page or "") & _MASK
             for place, (text, tags) in walk(page or "")[1].items():
                 for kind, value in enumerate((" ".join(text), " ".join(tags))):
-                    for column, x in zip(out, (own, place, kind, xxhash.xxh3_64_intdigest(value) & _MASK), strict=True):
+                    for column, x in zip(out, (own, place, kind, xxhash.xxh3_64_intdigest(value) & _MASK, key), strict=True):
                         column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["host", "place", "kind", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["host", "place", "kind", "value", "page"])
 
 
 def _importance(counted: DataFrame, *keys: str) -> DataFrame:
@@ -212,7 +214,7 @@ def _importance(counted: DataFrame, *keys: str) -> DataFrame:
 
 def style_trees(pages: DataFrame) -> DataFrame:
     """Importance of every place of every host: host, place, pages, importance."""
-    rows = arrow(pages.select("url", "html"), _features, "host string, place long, kind long, value long")
+    rows = arrow(pages.select("url", "html"), _features, "host string, place long, kind long, value long, page long").distinct()  # copies count once
     counted = cut(rows.groupBy("host", "place", "kind", "value").agg(F.count("*").alias("n")))
     by_host = _importance(counted, "host", "place")
     by_all = _importance(counted.groupBy("place", "kind", "value").agg(F.sum("n").alias("n")), "place").select("place", F.col("pages").alias("all_pages"), F.col("importance").alias("all_importance"))

@@ -278,6 +278,22 @@ def test_pages(spark):
     assert not html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect()
 
 
+def test_pages_of_a_host_of_mostly_equal_pages(spark):
+    page = "<html><body><div class=wrap><div class=box>always the same</div><article><h1>Head {i}</h1><p>text {i}</p></article></div></body></html>"
+    rows = [(i, f"http://h/{i}", page.format(i=0 if i < 70 else i)) for i in range(100)]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Head {0 if i < 70 else i}\ntext {0 if i < 70 else i}" for i in range(100))
+    places = html_extract.style_trees(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert max(r["pages"] for r in places) == 31  # the 70 copies count once
+
+
+def test_main_content_outlives_a_dropped_place(spark):
+    html = "<html><body><div>menu<article><p>text</p></article></div></body></html>"
+    every = frozenset(html_extract.walk(html)[1])
+    assert [t for t, _ in html_extract.walk(html, every)[0]] == ["text"]
+    assert html_extract.main_text("<html><body>plain</body></html>", every) == "plain"
+
+
 # --- 7: repeats
 
 
