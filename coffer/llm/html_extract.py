@@ -3,10 +3,12 @@
 A first pass parses each page into elements and merges the trees of a host: an element's place is its path of tags, classes
 and ids from the root. For each place of a host, and of all hosts together, the entropies of its contents and of its child
 sequences over the pages are computed by aggregation; divided by the logarithm of the number of pages they are its importance
-(1: differs on every page, 0: always the same). Equal pages of a host count once. Hosts with fewer than ``PAGES`` pages at a place take that of all hosts. A
-second pass drops, from each page, branches whose place is unimportant, and those whose tag or class names menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or comments. Inside an ``article`` or ``main`` element only the
-names count: a text that many pages copy is still their text. If a page has such elements, only they are read.
+(1: differs on every page, 0: always the same). Equal pages of a host count once, and so do equal main contents for the places
+inside them: a text that many pages copy is still their text. Hosts with fewer than ``PAGES`` pages at a place take that of
+all hosts. A second pass drops, from each page, branches whose place is unimportant, and those whose tag or class names menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments. ``article`` and ``main`` elements are a prior:
+inside them a place is dropped under ``INSIDE`` only, and inline elements stay with their block; beside them, a text is read
+if its place is known to be important on enough pages. In a page without such elements all that isn't dropped is read.
 
 Null or empty html gives an empty text; a page without a host joins the group of pages without one. Null or repeated ids and
 extra columns pass, as pages are joined only to a table with one row per host; an empty table gives an empty result.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from coffer.llm.common import arrow, cut, lookup
 
-#: A host's own importance of a place counts from so many pages on; places under LEAST are dropped.
-PAGES, LEAST = 20, 0.5
+#: A host's own importance of a place counts from so many pages on; places under LEAST are dropped, and under INSIDE in main content.
+PAGES, LEAST, INSIDE = 20, 0.5, 0.1
 
 # Fixed word lists: elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,12 +59,12 @@ def host(url: str | None) -> str:
 
 
 class Node:
-    """An open element: its place, whether it gives no text by its names or by its importance, whether it is in main content."""
+    """An open element: its place, whether it gives no text by its names or by its importance, whether it is in main content or holds some."""
 
-    __slots__ = ("dropped", "main", "noise", "parts", "place", "tag")
+    __slots__ = ("dropped", "holds", "main", "noise", "parts", "place", "tag")
 
     def __init__(self, tag: str, place: int, noise: bool, dropped: bool, main: bool):
-        self.tag, self.place, self.noise, self.dropped, self.main = tag, place, noise, dropped, main
+        self.tag, self.place, self.noise, self.dropped, self.main, self.holds = tag, place, noise, dropped, main, False
         self.parts: list[str] = []  # texts, and digests of inner elements
 
 
@@ -81,14 +83,18 @@ def _place(parent: int, tag: str, attributes: str) -> tuple[int, bool]:
     return known
 
 
-def walk(html: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[str, bool]], dict[int, tuple[list[str], list[str]]]]:
-    """Blocks of text as (text, in main content), and for each place its elements' digests and child tags.
+def walk(html: str, dropped: frozenset[int] = frozenset(), overruled: frozenset[int] = frozenset()) -> tuple[list[tuple[str, bool]], dict[int, tuple[list[str], list[str], bool]], list[str]]:
+    """Blocks of text as (text, main text by tag or importance); for each place its elements' digests and child tags, and whether
+    it is in main content; digests of the main contents.
 
     Branches that are noise by name, or at a dropped place outside main content, give no blocks. Main content within a dropped
-    place isn't dropped with it, and html and body never are."""
+    place isn't dropped with it, and html and body never are. At ``overruled`` places importance overrules the tag: in main
+    content they give no blocks, beside it theirs count as main text. Places that names or the tags html and body decide aren't
+    listed, nor inline ones in main content."""
     root = Node("", 0, False, False, False)
     stack, blocks, line = [root], [], []
-    seen: dict[int, tuple[list[str], list[str]]] = {}
+    seen: dict[int, tuple[list[str], list[str], bool]] = {}
+    mains: list[str] = []
     at, n = 0, len(html)
 
     def put(raw: str) -> None:
@@ -103,7 +109,7 @@ def walk(html: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[s
     def flush() -> None:
         if line:
             if text := _BLANK.sub(" ", "".join(line)).strip():
-                blocks.append((text, stack[-1].main))
+                blocks.append((text, next((x for x in reversed(stack) if x.tag not in INLINE), root)))
             line.clear()
 
     def close(to: int) -> None:
@@ -113,7 +119,10 @@ def walk(html: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[s
             node = stack.pop()
             digest = xxhash.xxh3_64_hexdigest(_BLANK.sub(" ", " ".join(node.parts)).strip())
             stack[-1].parts.append(digest)
-            seen[node.place][0].append(digest)
+            if node.place in seen:
+                seen[node.place][0].append(digest)
+            if node.main and not stack[-1].main:
+                mains.append(digest)
 
     while at < n:
         lt = html.find("<", at)
@@ -166,7 +175,6 @@ def walk(html: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[s
             continue
         place, named = _place(stack[-1].place, tag, m[3].strip())
         parent = stack[-1]
-        seen.setdefault(place, ([], []))
         if parent.place in seen:
             seen[parent.place][1].append(tag)
         if tag in VOID:
@@ -176,28 +184,38 @@ def walk(html: str, dropped: frozenset[int] = frozenset()) -> tuple[list[tuple[s
         if tag == "header" and parent.main:  # an article's own head holds its title
             named = False
         main = parent.main or tag in MAIN_TAGS and not named
-        out = not main and (parent.dropped or place in dropped and tag not in ("html", "body"))
-        stack.append(Node(tag, place, parent.noise or named, out, main))
+        if main and not parent.main:
+            for x in stack:
+                x.holds = True
+        noise = parent.noise or named
+        judged = not noise and tag not in ("html", "body") and not (main and tag in INLINE)
+        if judged:
+            seen.setdefault(place, ([], [], main))
+        stack.append(Node(tag, place, noise, judged and place in (overruled if main else dropped) or parent.dropped and main == parent.main, main))
     close(1)
     flush()
-    return blocks, seen
+    tagged = any(x.main for _, x in blocks)
+    return [(text, tagged and (x.main or x.place in overruled and not x.holds)) for text, x in blocks], seen, mains
 
 
-def main_text(html: str | None, dropped: frozenset[int] = frozenset()) -> str:
+def main_text(html: str | None, dropped: frozenset[int] = frozenset(), overruled: frozenset[int] = frozenset()) -> str:
     """Main text of a page: its blocks in order, one to a line."""
-    blocks, _ = walk(html or "", dropped)
+    blocks, _, _ = walk(html or "", dropped, overruled)
     main = [t for t, inside in blocks if inside]
     return "\n".join(main if main else [t for t, _ in blocks])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, place, kind, value, page): kind 0 is a place's text, 1 its child tags; equal pages have the same key."""
+    """Rows (host, place, kind, value, page): kind 0 is a place's text, 1 its child tags, and 2 more outside main content. Equal pages have the same
+    key, or equal main contents for places inside."""
     for batch in batches:
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own, key = host(url), xxhash.xxh3_64_intdigest(page or "") & _MASK
-            for place, (text, tags) in walk(page or "")[1].items():
-                for kind, value in enumerate((" ".join(text), " ".join(tags))):
+            _, seen, mains = walk(page or "")
+            own, keys = host(url), [xxhash.xxh3_64_intdigest(x) & _MASK for x in (page or "", " ".join(mains))]
+            for place, (text, tags, main) in seen.items():
+                key = keys[main]
+                for kind, value in enumerate((" ".join(text), " ".join(tags)), 0 if main else 2):
                     for column, x in zip(out, (own, place, kind, xxhash.xxh3_64_intdigest(value) & _MASK, key), strict=True):
                         column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])], names=["host", "place", "kind", "value", "page"])
@@ -209,28 +227,34 @@ def _importance(counted: DataFrame, *keys: str) -> DataFrame:
     each = counted.groupBy(*keys, "kind").agg(F.sum("n").alias("pages"), F.sum(c * F.log(c)).alias("s"))
     entropy = F.log(F.col("pages").cast("double")) - F.col("s") / F.col("pages")
     each = each.withColumn("importance", F.when(F.col("pages") > 1, entropy / F.log(F.col("pages").cast("double"))).otherwise(1.0))
-    return each.groupBy(*keys).agg(F.max("pages").alias("pages"), F.max("importance").alias("importance"))
+    return each.groupBy(*keys).agg(F.max("pages").alias("pages"), F.max("importance").alias("importance"), F.max(F.col("kind") > 1).alias("outside"))
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """Importance of every place of every host: host, place, pages, importance."""
+    """Importance of every listed place of every host: host, place, pages, importance, whether it is outside main content, and whether enough pages say so."""
     rows = arrow(pages.select("url", "html"), _features, "host string, place long, kind long, value long, page long").distinct()  # copies count once
     counted = cut(rows.groupBy("host", "place", "kind", "value").agg(F.count("*").alias("n")))
     by_host = _importance(counted, "host", "place")
     by_all = _importance(counted.groupBy("place", "kind", "value").agg(F.sum("n").alias("n")), "place").select("place", F.col("pages").alias("all_pages"), F.col("importance").alias("all_importance"))
-    enough = F.col("pages") >= PAGES
-    return by_host.join(by_all, "place").select("host", "place", "pages", F.when(enough, F.col("importance")).when(F.col("all_pages") >= PAGES, F.col("all_importance")).otherwise(1.0).alias("importance"))
+    enough, enough_in_all = F.col("pages") >= PAGES, F.col("all_pages") >= PAGES
+    importance = F.when(enough, F.col("importance")).when(enough_in_all, F.col("all_importance")).otherwise(1.0)
+    return by_host.join(by_all, "place").select("host", "place", "pages", importance.alias("importance"), "outside", (enough | enough_in_all).alias("sure"))
 
 
 def extract(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars."""
-    dropped = cut(style_trees(pages).where(F.col("importance") < least).groupBy("host").agg(F.sort_array(F.collect_set("place")).alias("dropped")))
+    low = F.col("importance") < F.when(F.col("outside"), least).otherwise(min(least, INSIDE))
+    places = lambda which: F.sort_array(F.collect_set(F.when(which, F.col("place"))))
+    outside = F.col("outside")
+    hosts = style_trees(pages).groupBy("host").agg(places(outside & low).alias("dropped"), places(F.when(outside, F.col("sure") & ~low).otherwise(low)).alias("overruled"), F.max(~outside).alias("tagged"))
+    overruled = F.when(F.col("tagged"), F.col("overruled"))  # without main content there's no tag to overrule
+    dropped = cut(hosts.select("host", "dropped", overruled.alias("overruled")).where((F.size("dropped") > 0) | (F.size("overruled") > 0)))
     own = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = lookup(pages.select("page_id", "url", "html", own.alias("host")), dropped, "host").select("page_id", "url", "html", "dropped")
+    joined = lookup(pages.select("page_id", "url", "html", own.alias("host")), dropped, "host").select("page_id", "url", "html", "dropped", "overruled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(h, frozenset(d or ())) for h, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [main_text(h, frozenset(d or ()), frozenset(o or ())) for h, d, o in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -294,6 +294,23 @@ def test_main_content_outlives_a_dropped_place(spark):
     assert html_extract.main_text("<html><body>plain</body></html>", every) == "plain"
 
 
+def test_importance_decides_in_main_content_and_beside_it(spark):
+    body = {
+        "wrapped": "<main><div class=box>always <b>the same</b></div><div class=text><p>text {i} <b>bold</b></p></div></main>",
+        "cards": "stray<div class=story><p>story {i}</p></div><div class=box>always the same</div><article class=card><p>card {i}</p></article>",
+        "copies": "<nav>{i}</nav><article><h1>Head {j}</h1><p>copy {j}</p></article>",
+        "counted": "<article><p>copy {j}</p><div>read {i} times</div></article>",
+    }
+    rows = [(i, f"http://{k}/{i}", "<html><body>" + v.format(i=i, j=0 if i < 24 else i) + "</body></html>") for k, v in body.items() for i in range(40)]
+    out = {r["url"].removeprefix("http://"): r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        j = 0 if i < 24 else i
+        assert out[f"wrapped/{i}"] == f"text {i} bold"
+        assert out[f"cards/{i}"] == f"story {i}\ncard {i}"
+        assert out[f"copies/{i}"] == f"Head {j}\ncopy {j}"
+        assert out[f"counted/{i}"] == f"copy {j}\nread {i} times"
+
+
 # --- 7: repeats
 
 
