@@ -234,8 +234,7 @@ def zstd_roundtrip(spark, sf_dir):
     return packed.select("doc_id", F.sha2(codec.decompress(F.col("packed")), 256).alias("digest"))
 
 
-def aes_gcm_roundtrip(spark, sf_dir):
-    docs = _payloads(spark, sf_dir)
+def _aes_gcm(docs: DataFrame) -> DataFrame:
     key = F.lit(bytearray(range(32)))  # a test key: never a real one
     nonce = F.substring(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256)), 1, 12)
     data = F.unhex(F.sha2(F.lit("associated"), 256))
@@ -245,6 +244,15 @@ def aes_gcm_roundtrip(spark, sf_dir):
     return sealed.select("doc_id", F.length("sealed").cast("long").alias("sealed_length"), F.sha2(opened, 256).alias("digest"), wrong.isNull().alias("wrong_fails"))
 
 
+def aes_gcm_roundtrip(spark, sf_dir):
+    return _aes_gcm(_payloads(spark, sf_dir))
+
+
+def aes_gcm_documents(spark, sf_dir):
+    """The whole text of every document, sealed and opened."""
+    return _aes_gcm(_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")))
+
+
 def kdf_vectors(spark, sf_dir):
     from coffer.shipping import ship
 
@@ -257,7 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """manifest_diff_summary manifest_snapshot manifest_diff deleted_files unchanged_carry_forward manifest_after_update manifest_last_wins restore_destinations destinations
     obfuscate_sha256 obfuscate_sha512 obfuscate_guid obfuscation_collisions dir_prefix_map path_containment result_metrics progress_running byte_size_format validation_warnings password_validity
     password_pool password_repetition password_sequence password_pattern password_year password_class password_leet password_strength password_description algorithm_catalog header_parse bzc_magic
-    zstd_roundtrip aes_gcm_roundtrip kdf_vectors"""
+    zstd_roundtrip aes_gcm_roundtrip aes_gcm_documents kdf_vectors"""
     return {n: globals()[n] for n in names.split()}
 
 

@@ -1,8 +1,10 @@
 """Each query of the engine against its SQL in DuckDB."""
 
+import hashlib
 from pathlib import Path
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 from coffer.plans import queries as core
@@ -40,3 +42,12 @@ def test_one_row_per_document(spark, name):
     folders = {}
     for r in rows:  # a folder has one name
         assert folders.setdefault(r["relative_path"].split("/")[0], r["stored_path"].split("/")[0]) == r["stored_path"].split("/")[0]
+
+
+def test_every_document_is_sealed_whole(spark):
+    texts = {r["doc_id"]: r["text"].encode() for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    rows = core.queries()["aes_gcm_documents"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]]
+        assert (r["sealed_length"], r["digest"], r["wrong_fails"]) == (len(raw) + 16, hashlib.sha256(raw).hexdigest(), True)
