@@ -97,6 +97,8 @@ class Result:
     errors: tuple[str, ...] = ()
     warnings: tuple[str, ...] = ()
     skipped: int = 0
+    #: A table (path, error) of all failures, of which ``errors`` shows the first; none where no file was tried.
+    failures: DataFrame | None = dataclasses.field(default=None, compare=False, repr=False)
 
     def __post_init__(self):
         for name in ("elapsed", "total_bytes", "processed", "total"):

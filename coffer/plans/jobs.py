@@ -24,6 +24,10 @@ from coffer.shipping import ship
 from coffer.sources import manifest, trees
 
 
+#: So many failures are shown in a result's errors; its table of failures has all.
+SHOWN = 100
+
+
 def normalised(path: str) -> str:
     """Absolute, with variables expanded; blank stays blank."""
     return os.path.abspath(os.path.expandvars(path.strip())) if path and path.strip() else ""
@@ -128,20 +132,34 @@ def _header(request: Request) -> dict:
     return {"cipher": request.cipher, "key_derivation": request.key_derivation, "name_mode": request.name_mode, "compression": request.compression}
 
 
-def _store(spark: SparkSession, named: DataFrame, request: Request, root: str) -> tuple[DataFrame, int, int, list[str]]:
-    """Writes named files. Gives entries of what was written, their number and bytes, and errors."""
+def _not_written(done: DataFrame) -> DataFrame:
+    """path and error of what a writer couldn't write."""
+    return done.where("error is not null").select(F.col("destination").alias("path"), "error")
+
+
+def _shown(failures: DataFrame) -> tuple[str, ...]:
+    """The first failures, and how many there are if that isn't all."""
+    n = failures.count()
+    first = tuple(r["error"] for r in failures.orderBy("path", "error").limit(SHOWN).collect())
+    return first if n == len(first) else (*first, f"{n} errors in all, of which {SHOWN} are shown")
+
+
+def _store(spark: SparkSession, named: DataFrame, request: Request, root: str) -> tuple[DataFrame, int, int, DataFrame]:
+    """Writes named files. Gives entries of what was written, their number and bytes, and a table of all failures: path, error."""
     clash = ops.collisions(named, "destination", "relative_path")
-    errors = [f"{r['files']} files have the name {r['destination_key']}" for r in clash.limit(100).collect()]
+    losers = named.select("relative_path", F.lower("destination").alias("destination_key")).join(clash, "destination_key").where("relative_path <> winner")
+    taken = F.format_string("%s: %s files have the name %s, which %s takes", "relative_path", "files", "destination_key", "winner")
+    lost = losers.select(F.col("relative_path").alias("path"), taken.alias("error"))
     winners = ops.first_wins(named.select("relative_path", "destination"), "destination", "relative_path").select("relative_path")
     sealed = _sealed(named.join(winners, "relative_path", "left_semi"), request)
     hashed = sealed.withColumn("source_hash", files.content_hash(F.col("content")))
     facts = hashed.select("relative_path", "destination", "salt", "nonce", "source_hash", "size").checkpoint()
     done = trees.write(hashed, root).checkpoint()
-    errors += [r["error"] for r in done.where("error is not null").limit(1000).collect()]
+    failures = lost.unionByName(_not_written(done)).checkpoint()
     written = facts.join(done.where("error is null").select("destination"), "destination", "left_semi")
     entries = written.select(F.col("destination").alias("relative_path"), F.col("relative_path").alias("original_path"), "salt", "nonce", "source_hash")
     n = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    return entries, n["n"], n["b"], errors
+    return entries, n["n"], n["b"], failures
 
 
 def _create(spark: SparkSession, request: Request) -> Result:
@@ -152,9 +170,10 @@ def _create(spark: SparkSession, request: Request) -> Result:
     total = trees.scan(spark, request.source, False).count()
     if not total:
         return Result(True, errors=("no files in the source folder",))
-    entries, n, size, errors = _store(spark, _named(tree, request), request, request.destination)
+    entries, n, size, failures = _store(spark, _named(tree, request), request, request.destination)
+    errors = _shown(failures)
     manifest.write(spark, request.destination, _header(request), entries, request.password if request.use_encryption else None)
-    return Result(n == total and not errors, time.time() - began, size, n, total, tuple(errors))
+    return Result(n == total and not errors, time.time() - began, size, n, total, errors, failures=failures)
 
 
 def _opened(backup: DataFrame, entries: DataFrame, header: dict, request: Request, sealed: bool) -> DataFrame:
@@ -186,13 +205,14 @@ def _restore(spark: SparkSession, request: Request) -> Result:
     backup = trees.scan(spark, request.source)
     total = trees.scan(spark, request.source, False).where(F.lower("relative_path") != MANIFEST_NAME).count()
     rows = _opened(backup, entries, header, request, sealed).checkpoint()
-    bad = rows.where("output is null").select("destination")
+    bad = rows.where("output is null").select(F.col("destination").alias("path"), F.concat("destination", F.lit(": wrong password, or the data was changed")).alias("error"))
     done = trees.write(rows.where("output is not null"), request.destination).checkpoint()
-    errors = [f"{r['destination']}: wrong password, or the data was changed" for r in bad.limit(1000).collect()] + [r["error"] for r in done.where("error is not null").limit(1000).collect()]
+    failures = bad.unionByName(_not_written(done)).checkpoint()
+    errors = _shown(failures)
     n = done.where("error is null").count()
     tried = rows.count()
     size = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    return Result(n == total and not errors, time.time() - began, size, n, total, tuple(errors), skipped=total - tried)
+    return Result(n == total and not errors, time.time() - began, size, n, total, errors, skipped=total - tried, failures=failures)
 
 
 def _update(spark: SparkSession, request: Request) -> Result:
@@ -213,18 +233,19 @@ def _update(spark: SparkSession, request: Request) -> Result:
     gone = changes.where("status = 'deleted'").select(F.lower("relative_path").alias("k"))
     lost = old.join(gone, F.lower("original_path") == F.col("k"), "left_semi").select("relative_path").checkpoint()
     trees.delete(lost, request.destination)
-    entries_new, n, size, errors = None, 0, 0, []
+    entries_new, n, size, errors, failures = None, 0, 0, (), None
     if total:
         # A changed file keeps its stored name.
         stored = old.select(F.lower("original_path").alias("k"), F.col("relative_path").alias("kept"))
         named = _named(tree.join(work, "relative_path", "left_semi"), request).join(stored, F.lower("relative_path") == F.col("k"), "left")
         named = named.withColumn("destination", F.coalesce("kept", "destination")).drop("k", "kept")
-        entries_new, n, size, errors = _store(spark, named, request, request.destination)
+        entries_new, n, size, failures = _store(spark, named, request, request.destination)
+        errors = _shown(failures)
     carried = old.join(gone, F.lower("original_path") == F.col("k"), "left_anti").drop("position")
     if entries_new is not None:  # what failed keeps its old entry
         carried = carried.join(entries_new.select(F.lower("original_path").alias("k")), F.lower("original_path") == F.col("k"), "left_anti").unionByName(entries_new)
     manifest.write(spark, request.destination, header, carried, request.password if request.use_encryption else None)
-    return Result(n == total and not errors, time.time() - began, size, n, total, tuple(errors))
+    return Result(n == total and not errors, time.time() - began, size, n, total, errors, failures=failures)
 
 
 def run(spark: SparkSession, request: Request) -> Result:
@@ -251,14 +272,15 @@ def copy_tree(spark: SparkSession, source: str, destination: str) -> Result:
     keys.shared_folder(spark)
     tree = trees.scan(spark, source).select("relative_path", "size", F.col("relative_path").alias("destination"), F.col("content").alias("output"))
     done = trees.write(tree, destination).checkpoint()
-    bad = [r["error"] for r in done.where("error is not null").limit(1000).collect()]
+    failures = _not_written(done).checkpoint()
+    errors = _shown(failures)
     empty = F.lit(bytearray()).cast("binary")
     entries = done.where("error is null").select(F.col("destination").alias("relative_path"), F.col("destination").alias("original_path"), empty.alias("salt"), empty.alias("nonce"), F.lit("").alias("source_hash"))
     header = {"cipher": Cipher.AES, "key_derivation": 1, "name_mode": NameMode.NONE, "compression": CompressionMode.NONE}
     manifest.write(spark, destination, header, entries)
-    n = done.where("error is null").count()
+    counts = done.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("n")).first()
     size = tree.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    return Result(not bad, time.time() - began, size, n, n + len(bad), tuple(bad))
+    return Result(not errors, time.time() - began, size, counts["n"], counts["total"], errors, failures=failures)
 
 
 __all__ = ["copy_tree", "errors_of", "normalised", "run", "warnings_of"]

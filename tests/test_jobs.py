@@ -80,6 +80,23 @@ def test_plain_copy(spark, tmp_path):
     assert trees.exists(str(tmp_path / "out")) and trees.free_space(str(tmp_path / "no" / "where")) > 0
 
 
+def test_all_failures_are_counted_and_named(spark, tmp_path):
+    put(tmp_path / "src", {"ok": b"1", **{f"d/{i}": b"x" for i in range(1100)}})
+    for i in range(1100):  # folders where files should be
+        (tmp_path / "out" / "d" / str(i)).mkdir(parents=True)
+    made = jobs.copy_tree(spark, str(tmp_path / "src"), str(tmp_path / "out"))
+    assert (made.success, made.processed, made.total, made.failed) == (False, 1, 1101, 1100)
+    assert len(made.errors) == jobs.SHOWN + 1 and made.errors[-1].startswith("1100 errors in all")
+    assert {r["path"] for r in made.failures.collect()} == {f"d/{i}" for i in range(1100)}
+
+
+def test_every_losing_file_is_named(spark, tmp_path):
+    put(tmp_path / "src", {**{f"a{i}": b"%d" % i for i in range(150)}, **{f"A{i}": b"%d" % i for i in range(150)}})
+    made = jobs.run(spark, request(tmp_path / "src", tmp_path / "out", use_encryption=False, compression=CompressionMode.NONE))
+    assert (made.success, made.processed, made.total, made.failed) == (False, 150, 300, 150)
+    assert {r["path"] for r in made.failures.collect()} == {f"a{i}" for i in range(150)} and made.errors[-1].startswith("150 errors in all")
+
+
 def test_codec():
     for mode in list(CompressionMode)[1:]:
         raw = b"AAAAABBBBBCCCCC" * 200
