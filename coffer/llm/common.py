@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from coffer.shipping import ship
 
-#: Rows in an Arrow batch. Documents may be long, so a batch of them must stay small.
-ARROW_ROWS = 512
+#: Rows in an Arrow batch, and bytes, as documents may be long.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 #: Rows in a batch of numbers and short strings.
 SMALL_ROWS = 16_384
+#: Spark's settings of a batch, and the one by which it drops an execution's shuffle files at its end.
+_ROWS, _BYTES, _CLEAN = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A lookup side is broadcast only when it has at most this many rows of a few longs (some 20 MB).
 BROADCAST_ROWS = 200_000
 
@@ -28,10 +30,12 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and makes sure that checkpoints have a folder. The cluster's own setting wins."""
+    """Bounds Arrow batches, for results that the caller runs too, and makes sure that checkpoints have a folder. Lower bounds of the
+    session's own stay, and so does the cluster's folder."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, most in ((_ROWS, ARROW_ROWS), (_BYTES, ARROW_BYTES)):
+        if not 0 < _number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
@@ -40,20 +44,41 @@ def prepare(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="coffer-checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; later stages don't depend on executors' shuffle files."""
-    prepare(session(df))
-    return df.checkpoint(eager=True)
+def _number(size: str) -> int:
+    """Of a size as Spark writes it, such as 256MB."""
+    digits = size.rstrip("bBkKmMgG")
+    unit = size[len(digits) :].lower().rstrip("b")
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that a checkpoint has replaced; they'd stay until the driver's next full GC.
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Holds settings (dots written as __) for the statements within."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    usual = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in usual.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
-    The plan that ran last is held until its listeners have seen its end, hence the pause."""
-    for _ in range(2):
-        gc.collect()  # data frames may be held by reference cycles
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+
+def _once(spark: SparkSession, **values: str):
+    """For an execution that nothing but its result outlives: its shuffle files go at its end."""
+    return settings(spark, **{_CLEAN.replace(".", "__"): "true"}, **{k.replace(".", "__"): v for k, v in values.items()})
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder; later stages don't depend on executors' shuffle files."""
+    spark = session(df)
+    prepare(spark)
+    with _once(spark):
+        return df.checkpoint(eager=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +87,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``function`` over the batches of each partition; at its end a worker gives the memory back that its allocators hold."""
     prepare(session(df))
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
-def lookup(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Joins a small lookup table by one key. It's broadcast behind a count; beyond it, both sides are shuffled, where AQE splits hot keys."""
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
+    """Joins a lookup table by key. It's broadcast behind a count; beyond it, both sides are shuffled, where AQE splits hot keys."""
     return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right, on, how)
 
 
@@ -100,13 +137,8 @@ def store(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     spark = session(df)
     prepare(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
+    with _once(spark, **{_ROWS: str(rows)}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out._coffer_path = path
     return out

@@ -1,11 +1,13 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-A document is the set of hashes (64 bits) of its word shingles. Documents with equal sets form a class, which is compared
-once. Shingles are ordered by how often they occur, rare ones first; counts come from all documents, in a table of
-``COUNTERS`` counters, whose size doesn't follow the data (any fixed order gives whole results; a good one gives few
-candidates). Two classes above the threshold share a shingle of their prefixes. Candidates that share one must pass
-
-- the length filter: sizes within the threshold of each other;
+A document is the set of hashes (64 bits) of its word shingles. Documents with equal sets (128 bits of key) form a class, which is
+compared once, whether its rows have ids or not. A global order puts rare shingles first: by level, then by how often they occur.
+A level is a range of hash values, and holds some ``SLACK`` times the shingles that a prefix takes; a class sends the levels that
+hold its prefix, for most the first one alone. Counts are exact, over all that is sent, from a partial aggregation; what was
+counted once meets no list and drops out before anything is joined, but keeps its places in the order. So a class whose prefix
+is of such shingles is done. Two classes above the threshold share a shingle of their prefixes. Candidates that share one must pass
+
+- the length filter: sizes within the threshold of each other, by bands of sizes in the join's key, then exactly;
 - the positional filter: what can follow the shared places suffices for the overlap that the threshold asks for;
 - the suffix filter: a bound on the sets' difference from parities of their elements, of ``SKETCH`` words beside each prefix
   element and then of ``WIDE`` words for each class;
@@ -13,34 +15,38 @@ candidates). Two classes above the threshold share a shingle of their prefixes.
 and are verified once, on the whole sets. To find the components of a large group of near copies without all its pairs, ``ROUNDS``
 first rounds take from each posting list a class of its least component, then of its greatest, and compare every other class
 with the one of them that it shares most lists with. The last round joins classes of different components only; every pair
-that passes the filters is verified, so no link between components is lost. All rounds are plain equi-joins whose hot keys
-Spark splits at run time; posting lists are never gathered.
+that passes the filters is verified, so no link between components is lost. All rounds are plain equi-joins; posting lists are
+never gathered, Spark splits their hot keys at run time, and a class with many pairs has them dealt in slices of ``SLICE``.
 
 Null, empty or blank text has an empty set and links with nothing. Rows with one id but several texts count each as their own
-set under that id; rows whose id is null take the component of their set, which their id never names. Extra columns are
-ignored; an empty table gives an empty result.
+set under that id; rows whose id is null link as others do and take the component of their set, which their id never names.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coffer.llm.common import arrow, cut, discard, fold, free, lookup, mix, store, texts
+from coffer.llm.common import arrow, cut, discard, fold, lookup, mix, store, texts
 from coffer.llm.components import components
 
-#: Counters of shingle frequencies, and segments that they're summed and sent in.
-COUNTERS, SEGMENTS = 1 << 18, 64
+#: Shingles that a level holds, as a multiple of those in a prefix.
+SLACK = 1.5
 SKETCH, WIDE = 4, 64
 ROUNDS = 2
+#: Pairs of a class that share one copy of its set.
+SLICE = 64
 
 _SEEN_CLASSES = 200_000
+_PARTS = [f"f{i}" for i in range(SKETCH)]
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -58,53 +64,13 @@ def class_key(items: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True)
 
 
-def _keys(width: int):
-    """Rows of documents (segment -1), and at the end of a partition rows of counters."""
-    schema = pa.schema([("segment", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("counts", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            rows, held = [], []
-            for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                items = shingles(t, width)
-                held.append(items)
-                rows.append((-1, i, len(items), *(class_key(items) if len(items) else (None, None)), None))
-            if held:
-                counts += np.bincount((np.concatenate(held) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
-        if counts.any():
-            parts = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, SEGMENTS)]
-            none = pa.nulls(SEGMENTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), none, none, none, none, pa.array(parts, pa.binary())], schema=schema)
-
-    return run
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for segment, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            new = np.frombuffer(zlib.decompress(raw), "<i8")
-            total[segment] = total[segment] + new if segment in total else new
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["segment", "counts"])
-
-
-def frequencies(keyed: DataFrame) -> np.ndarray:
-    """The counters' sums over all documents; ``COUNTERS`` numbers come to the driver, whatever the data."""
-    out = np.zeros(COUNTERS, dtype=np.int64)
-    size = COUNTERS // SEGMENTS
-    dealt = keyed.where("segment >= 0").select("segment", "counts").repartition(SEGMENTS, "segment")
-    for r in arrow(dealt, _sum, "segment int, counts binary").collect():
-        out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["counts"], "<i8")
-    return out
-
-
 class Threshold:
     """inter / union >= num / den, in whole numbers."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        #: Of 2^20 hash values, those of a level.
+        self.level = math.ceil(min(1.0, SLACK * (1 - num / den) + 1e-3) * (1 << 20))
 
     def prefix(self, n: int) -> int:
         """Elements of a set of n, of which one at least is in each other set's prefix, if the two are similar."""
@@ -118,6 +84,10 @@ class Threshold:
         """Whether sets of so many elements together can be similar if at least so many are in one of them only."""
         return (self.num + self.den) * (total - differ) >= 2 * self.num * total
 
+    def band(self, n: Column) -> Column:
+        """Sizes within the threshold are in one band or in two that follow each other."""
+        return F.floor(F.log(n) / (math.log(self.den / self.num) * (1 + 1e-9))).cast("int") if self.num < self.den else n.cast("int")
+
 
 def parities(items: np.ndarray, words: int = SKETCH) -> list[int]:
     """A set's sketch: of ``64 * words`` bits, each the parity of the number of elements that fall there."""
@@ -126,56 +96,65 @@ def parities(items: np.ndarray, words: int = SKETCH) -> list[int]:
     return np.packbits(bits).view(">i8").tolist()
 
 
-def _prefixes(width: int, threshold: Threshold, sent):
-    """Rows of the prefix elements of each class that a partition holds: element, class, size, place, sketch; with its first, the wide sketch."""
-    names = ["token", "cls", "n", "pos", *(f"f{i}" for i in range(SKETCH)), "wide"]
+_HELD = pa.schema([
+    *((c, pa.int64()) for c in ("doc_id", "r1", "r2", "place", "n", "k1", "k2")), ("first", pa.bool_()), ("prefix", pa.int64()), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.int64())),
+    *((f, pa.int64()) for f in _PARTS), ("wide", pa.list_(pa.int64())),
+])
+_HELD_SQL = "doc_id long, r1 long, r2 long, place long, n long, k1 long, k2 long, first boolean, prefix long, ends array<long>, items array<long>, " + ", ".join(f"{f} long" for f in _PARTS) + ", wide array<long>"
+
+
+def _hold(width: int, threshold: Threshold):
+    """A row for each document: its number among all rows, size and key of its set; with the first of a class that a task meets,
+    the elements of the levels that hold its prefix, where the levels end, and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            tokens, owners, sizes, places, sketches, wide = [], [], [], [], [], []
-            for t in texts(batch.column(0)):
+            ids, r1, r2 = (batch.column(i).to_pylist() for i in range(3))
+            rows = []
+            for i, a, b, t in zip(ids, r1, r2, texts(batch.column(3)), strict=True):
+                place += 1
                 items = shingles(t, width)
-                if not len(items):
+                if not (n := len(items)):
+                    rows.append((i, a, b, place, 0, None, None, False, *[None] * (4 + SKETCH)))
                     continue
-                key = class_key(items)[0]
+                key = class_key(items)
                 if key in seen:
+                    rows.append((i, a, b, place, n, *key, False, *[None] * (4 + SKETCH)))
                     continue
                 if len(seen) >= _SEEN_CLASSES:
                     seen.clear()
                 seen.add(key)
-                p = threshold.prefix(len(items))
-                often = counts[(items & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                if p < len(items):  # only what may be in the prefix is sorted
-                    near = np.flatnonzero(often <= np.partition(often, p - 1)[p - 1])
-                else:
-                    near = np.arange(len(items))
-                first = near[np.lexsort((items[near], often[near]))][:p]
-                tokens.append(items[first].view(np.int64))
-                owners.append(key)
-                sizes.append(len(items))
-                sketches.append(parities(items))
-                wide.append(parities(items, WIDE))
-                wide.extend([None] * (p - 1))
-                places.append(p)
-            each = np.array(places, dtype=np.int64)
-            total = int(each.sum())
-            pos = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
-            flat = np.array(sketches, dtype=np.int64).reshape(-1, SKETCH)
-            columns = [np.concatenate(tokens) if tokens else np.zeros(0, np.int64), np.repeat(np.array(owners, np.int64), each), np.repeat(np.array(sizes, np.int64), each), pos, *(np.repeat(flat[:, i], each) for i in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(wide, pa.list_(pa.int64()))], names=names)
+                level = (items >> np.uint64(44)).astype(np.int64) // threshold.level
+                ends = np.cumsum(np.bincount(level))
+                p = threshold.prefix(n)
+                last = int(np.searchsorted(ends, p))
+                sent = items[level <= last].view(np.int64)
+                rows.append((i, a, b, place, n, *key, True, p, ends[: last + 1], sent, *parities(items), parities(items, WIDE)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(_HELD)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _HELD, strict=True)], schema=_HELD)
 
     return run
 
 
 def _sets(width: int):
+    """(cls, items) from (cls, k1, k2, text): the whole set of each class that a task is asked for, once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            names, k1, k2 = (batch.column(i).to_pylist() for i in range(3))
             keys, sets = [], []
-            for t in texts(batch.column(0)):
-                if len(items := shingles(t, width)):
-                    keys.append(class_key(items)[0])
+            for cls, a, b, t in zip(names, k1, k2, texts(batch.column(3)), strict=True):
+                if cls in seen:
+                    continue
+                items = shingles(t, width)
+                if len(items) and class_key(items) == (a, b):
+                    if len(seen) >= _SEEN_CLASSES:
+                        seen.clear()
+                    seen.add(cls)
+                    keys.append(cls)
                     sets.append(items.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "items"])
 
@@ -187,119 +166,145 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def _sliced(pairs: DataFrame, end: str, sets: DataFrame, value: str) -> DataFrame:
+    """``pairs`` with the set of one end as ``value``. A class with many pairs has a copy of its set for each slice of them."""
+    other = "b" if end == "a" else "a"
+    many = cut(pairs.groupBy(end).count().where(F.col("count") > SLICE).select(F.col(end).alias("cls"), F.ceil(F.col("count") / SLICE).cast("int").alias("slices")))
+    dealt = lookup(pairs, many.withColumnRenamed("cls", end), end).withColumn("slice", F.coalesce(F.pmod(F.xxhash64(other), F.col("slices")).cast("int"), F.lit(0))).drop("slices")
+    copies = lookup(sets, many, "cls").select(F.col("cls").alias(end), F.col("items").alias(value), F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice"))
+    return dealt.join(_dealt(copies), [end, "slice"]).drop("slice")
+
+
 class Join:
     """One join over ``docs``; the parts keep what they share."""
 
     def __init__(self, docs: DataFrame, width: int, num: int, den: int, id_column: str = "doc_id", text_column: str = "text"):
         self.width, self.threshold = width, Threshold(num, den)
-        self.docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+        docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+        self.docs = docs.select("doc_id", *row_keys(F.col("doc_id"), F.col("text")), "text")
         self.spark = docs.sparkSession
 
-    def candidates(self, left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
-        """Rows (cls, cls_r) for each prefix element that two classes share and at which they pass the filters; columns of ``right`` end with _r."""
-        right = right.select(*[F.col(c).alias(c if c == "token" else f"{c}_r") for c in right.columns])
+    def passed(self) -> Column:
+        """The filters of a posting and another's, whose columns end with _r."""
         n, m, t = F.col("n"), F.col("n_r"), self.threshold
-        overlap = F.least("pos", "pos_r") + 1 + F.least(n - F.col("pos"), m - F.col("pos_r")) - 1
-        differ = sum((F.bit_count(F.col(f"f{i}").bitwiseXOR(F.col(f"f{i}_r"))) for i in range(1, SKETCH)), F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_r"))))
+        overlap = F.least("pos", "pos_r") + F.least(n - F.col("pos"), m - F.col("pos_r"))
+        differ = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"{f}_r"))) for f in _PARTS[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("f0_r"))))
         length = t.num * F.greatest(n, m) <= t.den * F.least(n, m)
-        passed = (F.col("cls") != F.col("cls_r")) & length & t.bound(overlap, n + m) & t.near(differ, n + m)
-        return left.join(_dealt(right), (left["token"] == right["token"]) & passed & more).select("cls", "cls_r")
+        return (F.col("component") != F.col("component_r")) & length & t.bound(overlap, n + m) & t.near(differ, n + m)
+
+    def postings(self, held: DataFrame) -> DataFrame:
+        """Prefix elements that two classes sent: token, cls, n, pos (in the set's order), sketch. ``held``: one row of each class."""
+        held = held.withColumnRenamed("place", "cls")
+        each = held.select("cls", F.explode("items").alias("token"))
+        often = each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
+        whose = held.select("cls", "n", "prefix", "ends", *_PARTS)
+        level = F.expr(f"cast(shiftrightunsigned(token, 44) div {self.threshold.level} as int)")
+        found = each.join(_dealt(often), "token").join(_dealt(whose), "cls").withColumn("level", level)
+        last_first = Window.partitionBy("cls", "level").orderBy(F.desc("times"), F.desc("token"))
+        # What is sent once stands before all others of its level, so places are counted from the level's end.
+        found = found.withColumn("pos", F.element_at("ends", F.col("level") + 1) - F.row_number().over(last_first))
+        return found.where(F.col("pos") < F.col("prefix")).select("token", "cls", "n", "pos", *_PARTS)
 
     def narrowed(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Of distinct pairs (a < b), those whose wide sketches allow the threshold."""
-        first = sketches.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("wide").alias("x"))
-        second = sketches.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        some = lookup(sketches, wanted, "cls", "left_semi")
+        first = some.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("wide").alias("x"))
+        second = some.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
         differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         joined = _dealt(pairs).join(_dealt(first), "a").join(_dealt(second), "b")
         return joined.where(self.threshold.near(differ, F.col("n") + F.col("m"))).select("a", "b")
 
     def verified(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """``pairs`` (checkpointed) with ``linked``, by whole sets. ``found``: classes with a document of each."""
+        """``pairs`` (kept) with ``linked``, by whole sets. ``found``: classes, with the key of a row of each."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        wanted = cut(found.select(F.col("k1").alias("cls"), F.col("rep").alias("doc_id")).join(wanted, "cls", "left_semi").select("doc_id").distinct())
-        some = lookup(self.docs.where("doc_id is not null"), wanted, "doc_id", "left_semi")
-        # An id with several texts may bring more classes than asked for; they meet no pair. Repeated rows repeat pairs, at the end dropped.
-        sets = arrow(some.select("text"), _sets(self.width), "cls long, items array<long>")
-        first = sets.select(F.col("cls").alias("a"), F.col("items").alias("x"))
-        second = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
+        wanted = cut(lookup(found.select("cls", "r1", "k1", "k2"), cut(wanted), "cls", "left_semi"))
+        some = lookup(self.docs.select("r1", "text"), wanted, "r1", "inner").select("cls", "k1", "k2", "text")
+        sets = store(arrow(some, _sets(self.width), "cls long, items array<long>"))
+        both = _sliced(_sliced(pairs, "a", sets, "x"), "b", sets, "y")
         common = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - common
-        checked = _dealt(pairs).join(_dealt(first), "a").join(_dealt(second), "b").select("a", "b", (self.threshold.den * common >= self.threshold.num * union).alias("linked"))
-        checked = cut(checked.distinct())
-        free(self.spark)
+        # Repeated rows may have repeated a class's set.
+        checked = cut(both.select("a", "b", (self.threshold.den * common >= self.threshold.num * union).alias("linked")).distinct())
+        discard(sets)
         return checked
 
+    def pairs(self, labelled: DataFrame, turn: int) -> DataFrame:
+        """Distinct pairs (a < b) that pass the filters: in the first rounds of each class with ends of lists, in the last of all classes."""
+        few = labelled
+        if turn < ROUNDS:  # of long documents' elements some, the same ones in near copies: the last round takes all
+            step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col("n") / 128, F.lit(1.0))))).cast("long")
+            few = labelled.where(F.col("token").bitwiseAND(step - 1) == 0)
+        end = F.min_by("cls", "component") if turn % 2 == 0 else F.max_by("cls", "component")
+        ends = few.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), end.alias("end")).where("low < high").select("token", "end")
+        posted = store(few.join(_dealt(ends), "token"))
+        right = posted.select(*[F.col(c).alias(c if c == "token" else f"{c}_r") for c in posted.columns])
+        pair = [F.least("cls", "cls_r").alias("a"), F.greatest("cls", "cls_r").alias("b")]
+        if turn < ROUNDS:
+            met = posted.join(_dealt(right.where("cls_r = end_r")), "token").where(self.passed())
+            counted = met.groupBy("cls", "cls_r").agg(F.count("*").alias("lists"))
+            out = cut(counted.groupBy("cls").agg(F.max_by("cls_r", "lists").alias("cls_r")).select(*pair).distinct())
+        else:
+            band = self.threshold.band
+            left = posted.withColumn("band", band(F.col("n")))
+            right = right.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band(F.col("n_r")) + F.col("up"))
+            met = left.join(_dealt(right), ["token", "band"]).where(self.passed() & ((F.col("up") == 1) | (F.col("cls") < F.col("cls_r"))))
+            out = cut(met.select(*pair).distinct())
+        discard(posted)
+        return out
+
     def run(self) -> DataFrame:
-        """One row per row: doc_id, n_shingles, component_id."""
-        keyed = cut(arrow(self.docs, _keys(self.width), "segment int, doc_id long, n long, k1 long, k2 long, counts binary"))
-        rows = keyed.where("segment < 0").select("doc_id", "n", "k1", "k2")
-        found = cut(rows.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep")))
-        sent = self.spark.sparkContext.broadcast(frequencies(keyed))
-        # Side by side in columns, the rows of a class take little more than their elements.
-        schema = "token long, cls long, n long, pos long, " + ", ".join(f"f{i} long" for i in range(SKETCH)) + ", wide array<long>"
-        prefixes = store(arrow(self.docs.select("text"), _prefixes(self.width, self.threshold, sent), schema))
-        shared = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
-        listed = store(prefixes.drop("wide").join(_dealt(shared), "token", "left_semi"))
-        sketches = store(prefixes.where("wide is not null").select("cls", "n", "wide"))
-        discard(prefixes)
-        free(self.spark)
+        """One row per row: doc_id, r1, r2, place, n, k1, k2, cls and component of its class, component_id."""
+        held = store(arrow(self.docs, _hold(self.width, self.threshold), _HELD_SQL))
+        rows = held.select("doc_id", "r1", "r2", "place", "n", "k1", "k2")
+        own = F.struct(F.col("doc_id").isNull(), "place")
+        found = store(held.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("r1", own).alias("r1"), F.min(F.when(F.col("first"), F.col("place"))).alias("cls"), F.count_if("first").alias("firsts")))
+        # Other tasks' first rows of a class don't count.
+        again = lookup(held.where("first").select("place", "k1", "k2"), cut(found.where("firsts > 1").select("k1", "k2", "cls")), ["k1", "k2"], "inner").where("place <> cls")
+        once = lookup(held.where("first"), cut(again.select("place")), "place", "left_anti")
+        listed = store(self.postings(once))
+        sketches = once.select(F.col("place").alias("cls"), "n", "wide")
         checked: DataFrame | None = None
-        joined = None
-        pair = [F.least("cls", "cls_r").alias("a"), F.greatest("cls", "cls_r").alias("b")]
-        apart = F.col("component") != F.col("component_r")
+        joined = self.spark.createDataFrame([], "cls long, component long")
         for turn in range(ROUNDS + 1):
-            if joined is None:
-                labelled = listed.withColumn("component", F.col("cls"))
-            else:
-                labelled = store(lookup(listed, joined, "cls").withColumn("component", F.coalesce("component", "cls")))
-            few = labelled
-            if turn < ROUNDS:  # of long documents' elements some, the same ones in near copies: the last round takes all
-                step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col("n") / 128, F.lit(1.0))))).cast("long")
-                few = labelled.where(F.col("token").bitwiseAND(step - 1) == 0)
-            end = F.min_by("cls", "component") if turn % 2 == 0 else F.max_by("cls", "component")
-            ends = few.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), end.alias("end")).where("low < high").select("token", "end")
-            mixed = store(few.join(_dealt(ends), "token"))
-            posted = mixed.drop("end")
-            if turn < ROUNDS:
-                pivots = mixed.where("cls = end").drop("end").dropDuplicates(["token", "cls"])
-                counted = self.candidates(posted, pivots, apart).groupBy("cls", "cls_r").agg(F.count("*").alias("lists"))
-                pairs = counted.groupBy("cls").agg(F.max_by("cls_r", "lists").alias("cls_r")).select(*pair).distinct()
-            else:
-                once = posted.dropDuplicates(["token", "cls"])
-                pairs = self.candidates(once, once, apart & (F.col("cls") < F.col("cls_r"))).select(*pair).distinct()
+            labelled = lookup(listed, joined, "cls").withColumn("component", F.coalesce("component", "cls"))
+            pairs = self.pairs(labelled, turn)
             if checked is not None:
                 pairs = pairs.join(_dealt(checked.select("a", "b")), ["a", "b"], "left_anti")
-            pairs = cut(self.narrowed(cut(pairs), sketches))
-            discard(mixed, *([labelled] if joined is not None else []))
-            free(self.spark)
-            new = self.verified(pairs, found)
+            new = self.verified(cut(self.narrowed(pairs, sketches)), found)
             checked = new if checked is None else cut(checked.unionByName(new))
-            edges = checked.where("linked").select("a", "b")
-            joined = components(edges).withColumnRenamed("node", "cls")
-        discard(listed, sketches)
-        joined = joined.withColumnRenamed("cls", "k1")
-        joined = cut(lookup(found, joined, "k1").withColumn("component", F.coalesce("component", "k1")))
-        least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-        named = cut(lookup(joined.select("k1", "component"), cut(least), "component").select("k1", "component_id"))
-        out = lookup(rows, named, "k1")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+            joined = components(checked.where("linked").select("a", "b")).withColumnRenamed("node", "cls")
+        discard(listed)
+        classes = store(lookup(found.select("k1", "k2", "cls", "rep"), joined, "cls").withColumn("component", F.coalesce("component", "cls")))
+        least = cut(classes.groupBy("component").agg(F.min("rep").alias("component_id")))
+        named = cut(lookup(classes.select("k1", "k2", "cls", "component"), least, "component"))
+        return lookup(rows, named, ["k1", "k2"])
+
+
+def row_keys(doc_id: Column, text: Column) -> list[Column]:
+    """r1, r2: 128 bits of a row's id and text."""
+    return [F.xxhash64(doc_id, text).alias("r1"), F.xxhash64(F.lit(2), text, doc_id).alias("r2")]
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least id reachable by links)."""
-    return Join(docs, width, num, den).run()
+    out = Join(docs, width, num, den).run()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: that of the least id, once. Rows without an id stay, being in no component by name."""
-    named = docs.where("doc_id is not null")
-    ids = near_duplicates(named, width, num, den).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
-    kept = store(ids.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"), "times"))
-    once = _of(named, kept.where("times = 1"))
-    again = _of(named, kept.where("times > 1")).dropDuplicates(["doc_id"])  # texts are shuffled for repeated ids only
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
-
-
-def _of(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").cast("long").alias("kept_id"))
-    return lookup(rows, kept.select("kept_id"), "kept_id", "left_semi").select("whole.*")
+    """``docs`` with one row of each component: that of the least id, rows without an id last. Rows without a word have no component and
+    stay, repeated ones too."""
+    judged = store(Join(docs, width, num, den).run().where("n > 0").select("doc_id", "r1", "r2", "place", "component"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
+    best = cut(judged.groupBy("component").agg(F.min(order).alias("best")).select("best.place"))
+    # A row's key stands for repeated rows too: those of a kept row are told apart afterwards.
+    kept = judged.join(best, "place", "left_semi").select("r1", "r2")
+    lost = store(judged.join(_dealt(best), "place", "left_anti").groupBy("r1", "r2").agg(F.lit(1).alias("lost")))
+    repeated = cut(lost.join(_dealt(kept), ["r1", "r2"], "left_semi"))
+    gone = lookup(lost, repeated, ["r1", "r2"], "left_anti")
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"), *row_keys(F.col("doc_id").cast("long"), F.col("text")))
+    rows = lookup(rows, cut(gone), ["r1", "r2"], "left_anti")
+    twice = lookup(rows, repeated, ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("whole").alias("whole"))  # of few rows
+    return lookup(rows, repeated, ["r1", "r2"], "left_anti").select("whole.*").unionByName(twice.select("whole.*"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coffer.llm import bwt, minimizers
-from coffer.llm.common import SMALL_ROWS, arrow, discard, free, lookup, store
+from coffer.llm.common import SMALL_ROWS, arrow, discard, lookup, store
 from coffer.llm.minimizers import WINDOW
 
 GATHER = 256
@@ -253,10 +253,8 @@ def removals(docs: DataFrame) -> DataFrame:
     # Minimizers of two documents at least, and where they are.
     packed = arrow(searched, _minimizers(parts), "bucket int, kind int, packed binary").repartition(parts, "bucket").select("kind", "packed")
     hits = store(arrow(packed, _shared, "row long, s long").groupBy("row").agg(F.collect_list("s").alias("hits")))
-    free(spark)
     found = store(arrow(_with_places(searched, hits), _contexts(False), "mh long, ck long, doc long, row long, first long, windows long"))
     discard(hits)
-    free(spark)
     # Distinct contexts by key, a place where each is, and how many each minimizer has.
     some = F.xxhash64("row", "first")
     one = [F.min_by(c, some).alias(c) for c in ("row", "first")]
@@ -264,24 +262,20 @@ def removals(docs: DataFrame) -> DataFrame:
     counted = distinct.groupBy("mh").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("mh", "n")
     parted = store(distinct.join(_keyed(counted), "mh").select("mh", "ck", "low", "n", "row", "first"))
     discard(distinct)
-    free(spark)
     # Texts of contexts that must be compared.
     wanted = store(parted.where("n > 1").groupBy("row").agg(F.collect_list("first").alias("hits")))
     compared = store(arrow(_with_places(searched, wanted), _contexts(True), "mh long, ck long, context binary"))
-    free(spark)
     few = parted.where((F.col("n") > 1) & (F.col("n") <= GATHER)).join(_keyed(compared), ["mh", "ck"]).select("mh", "ck", "low", "context")
     many = parted.where(F.col("n") > GATHER).join(_keyed(compared), ["mh", "ck"]).select("mh", "ck", "low", "context")
     least = parted.where("n = 1").select("mh", "ck", F.array("low").alias("least"))
     least = least.unionByName(arrow(few.repartition(parts, "mh").sortWithinPartitions("mh"), _least, "mh long, ck long, least array<long>")).unionByName(_crowded(many))
     least = store(least, SMALL_ROWS)
     discard(parted, wanted, compared)
-    free(spark)
     answered = found.select("mh", "ck", "doc", "row", "first", "windows").join(_keyed(least), ["mh", "ck"])
     runs = arrow(answered.select("doc", "row", "first", "windows", "least"), _runs, "row long, begin long, end long")
     whole = copies.where(F.col("size") >= WINDOW).select("row", F.lit(0).cast("long").alias("begin"), F.col("size").cast("long").alias("end"))
     runs = store(runs.unionByName(whole).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("runs")), SMALL_ROWS)
     discard(keyed, copies, found, least)
-    free(spark)
     return runs
 
 

@@ -229,30 +229,72 @@ def test_components(spark):
 # --- 5: Jaccard
 
 
-@pytest.mark.parametrize("width, num, den", [(3, 90, 100), (5, 4, 5)])
-def test_jaccard(spark, docs, rows, width, num, den):
-    def items(t):
+def word_sets(texts, width):
+    out = []
+    for t in texts:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+        out.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or (frozenset([tuple(w)]) if w else frozenset()))
+    return out
 
-    sets = [items(t) for _, t in rows]
-    n = len(rows)
-    linked = [(i, j) for i in range(n) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
-    up = components.forest(linked)
-    least = {}
-    for i, (doc, _) in enumerate(rows):
+
+def reached(sets, num, den):
+    """Each row's component, by every pair of sets."""
+    n = len(sets)
+    up = components.forest([(i, j) for i in range(n) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])])
+    return [up.get(i, i) for i in range(n)]
+
+
+def jaccard_rows(rows, width, num, den):
+    sets = word_sets([t for _, t in rows], width)
+    top, least = reached(sets, num, den), {}
+    for (doc, _), c in zip(rows, top, strict=True):
         if doc is not None:
-            least[up.get(i, i)] = min(least.get(up.get(i, i), 1 << 60), doc)
-    want = sorted(((doc, len(sets[i]), least.get(up.get(i, i))) for i, (doc, _) in enumerate(rows)), key=str)
-    assert collected(jaccard.near_duplicates(docs, width, num, den), "doc_id", "n_shingles", "component_id") == want
+            least[c] = min(least.get(c, 1 << 60), doc)
+    return sorted(((doc, len(s), least.get(c)) for (doc, _), s, c in zip(rows, sets, top, strict=True)), key=str)
 
 
-def test_jaccard_empty_and_stage(spark, docs):
+@pytest.mark.parametrize("width, num, den", [(3, 90, 100), (5, 4, 5)])
+def test_jaccard(spark, docs, rows, width, num, den):
+    assert collected(jaccard.near_duplicates(docs, width, num, den), "doc_id", "n_shingles", "component_id") == jaccard_rows(rows, width, num, den)
+
+
+def test_jaccard_chains_sizes_and_null_ids(spark, monkeypatch):
+    """Chains whose middle texts have no id, groups of near copies, short texts of few shingles, common shingles, more pairs than a slice."""
+    monkeypatch.setattr(jaccard, "SLICE", 2)
+    rng = random.Random(9)
+    data, common = [], sentence(rng, 30)
+    for k in range(8):
+        w = [f"w{k}x{rng.randrange(400)}" for _ in range(rng.choice([4, 7, 12, 60, 90, 140]))]
+        for step in range(9):
+            data.append((None if step % 3 == 1 else 100 * k + 50 - step, " ".join(w)))
+            w = w[:-1] + ["end", f"{step}"] if step % 2 else [*w[: len(w) // 2], f"mid{step}", *w[len(w) // 2 + 1 :]]
+        data += [(1000 + 10 * k + i, f"own{k}{i} {common} tail{k}{i} {sentence(rng, 2 + 6 * k)}") for i in range(6)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    for width, num, den in ((3, 90, 100), (3, 4, 5), (1, 1, 2)):
+        want = jaccard_rows(data, width, num, den)
+        assert len({c for _, _, c in want}) < len(data) - 20
+        assert collected(jaccard.near_duplicates(df, width, num, den), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_jaccard_empty_and_stage(spark, docs, rows):
     assert not jaccard.near_duplicates(empty(spark)).collect()
+    assert not jaccard.keep_one(empty(spark)).collect()
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and ids.count(None) == 2
+    sets = word_sets([t for _, t in rows], 5)
+    top = reached(sets, 4, 5)
+    groups = collections.defaultdict(list)
+    for i, c in enumerate(top):
+        groups[c].append(i)
+    want = []
+    for members in groups.values():
+        if not sets[members[0]]:
+            want += [rows[i] for i in members]
+        else:
+            named = [rows[i] for i in members if rows[i][0] is not None]
+            want.append(min(named, key=lambda r: r[0]) if named else rows[members[0]])
+    got = kept.collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, want))
 
 
 # --- 6: pages
