@@ -1,12 +1,12 @@
-"""Minimizers of byte windows: in every window the run of ``K`` bytes with the least hash, so equal windows have equal minimizers."""
+"""Minimizers of byte windows: in every window the run of so many bytes with the least hash, so equal windows have equal minimizers.
+
+Runs may be of ``K`` bytes or longer ones; a run as long as the window is the window itself."""
 
 from __future__ import annotations
 
 import numpy as np
 
 WINDOW, K = 50, 20
-#: Runs of K bytes in a window.
-SPAN = WINDOW - K + 1
 #: Bytes that are worked on together; small enough for a CPU's cache.
 CHUNK = 1 << 16
 
@@ -23,27 +23,42 @@ def _join(a: np.ndarray, b: np.ndarray, off: int, odd: int) -> np.ndarray:
     return out
 
 
-def run_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of K = 20 bytes."""
-    h1 = _LETTERS[data]
-    h2 = _join(h1, h1, 1, 3)
-    h4 = _join(h2, h2, 2, 5)
-    h8 = _join(h4, h4, 4, 7)
-    h16 = _join(h8, h8, 8, 11)
-    return _join(h16, h4, 16, 13)
+def run_hashes(data: np.ndarray, k: int = K) -> np.ndarray:
+    """Hashes of all runs of k bytes, made of runs whose lengths are powers of two."""
+    parts, width, h = [], 1, _LETTERS[data]
+    while width <= k:
+        if k & width:
+            parts.append((width, h))
+        if width * 2 <= k:
+            h = _join(h, h, width, 2 * width.bit_length() + 1)
+        width *= 2
+    length, out = parts.pop()
+    while parts:
+        width, h = parts.pop()
+        out = _join(out, h, length, 2 * length.bit_length() + 3)
+        length += width
+    return out
+
+
+def _least_of(m: np.ndarray, span: int) -> np.ndarray:
+    """Minima of so many consecutive elements."""
+    width = 1
+    while width * 2 <= span:
+        m = np.minimum(m[:-width], m[width:])
+        width *= 2
+    more = span - width
+    return np.minimum(m[:-more], m[more:]) if more else m
 
 
-def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def contexts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = K) -> tuple[np.ndarray, ...]:
     """Of documents at ``data[starts:ends]``: number of the document, first and last window, place and hash of the minimizer,
     for each run of windows with one minimizer. Places count from the document's start."""
     none = np.zeros(0, dtype=np.int64)
     if len(data) < WINDOW:
         return none, none, none, none, none.astype(np.uint64)
-    h = run_hashes(data)
+    h = run_hashes(data, k)
     m = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)  # of equal hashes, the leftmost
-    for step in (1, 2, 4, 8):
-        m = np.minimum(m[:-step], m[step:])
-    m = np.minimum(m[: len(m) - (SPAN - 16)], m[SPAN - 16 :])
+    m = _least_of(m, WINDOW - k + 1)
     place = (m & np.uint64(0xFFFFFFFF)).astype(np.int64)
     long = ends - starts >= WINDOW
     at, first = np.flatnonzero(long), starts[long]
@@ -75,12 +90,12 @@ def chunks(sizes: list[int], chunk: int = CHUNK):
         at = to
 
 
-def of_texts(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+def of_texts(raw: list[bytes], k: int = K) -> tuple[np.ndarray, ...]:
     """``contexts`` of whole texts."""
     found = []
     sizes = [len(x) for x in raw]
     for a, b in chunks(sizes):
         ends = np.cumsum(sizes[a:b])
-        out = contexts(np.frombuffer(b"".join(raw[a:b]), np.uint8), ends - sizes[a:b], ends)
+        out = contexts(np.frombuffer(b"".join(raw[a:b]), np.uint8), ends - sizes[a:b], ends, k)
         found.append((out[0] + a, *out[1:]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coffer.llm.common import arrow, mix, texts
+from coffer.llm.common import arrow, give_back, mix, texts
 
 BUCKETS, DIMENSIONS, RUNS = 1 << 18, 8, (3, 4, 5)
 #: Bound on the labelled rows of a class that the model is fitted to, and on their bytes.
@@ -163,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             many.append(raw)
             marks.append(int(r["quality"]))
             size += len(raw)
-    return fit(many, np.array(marks, dtype=np.int64))
+    model = fit(many, np.array(marks, dtype=np.int64))
+    many.clear()
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, columns: list[str] | None = None, name: str = "score") -> DataFrame:

@@ -6,13 +6,14 @@ equal windows have equal minimizers. So only minimizers that occur in two docume
 windows that have it as their minimizer, its context) is compared with contexts of the same minimizer only:
 
 - one context with all copies equal needs no comparison: the least document has its windows first;
-- up to ``GATHER`` different contexts of each minimizer are collections of strings. A task's collections are split into
-  shards, whose transforms are merged by interleave refinement; the intervals of 50 common bytes give each window's least
-  document (module ``bwt``);
-- minimizers with more (the edges of a passage that very many documents share) are never gathered: their windows are
-  aggregated one by one, partially before they shuffle.
-
-Strings are judged on the input, whatever is removed elsewhere. Null text counts as empty. Rows without an id lose nothing and
+- different contexts of a minimizer are a collection of strings. A task's collections are split into shards, whose transforms
+  are merged by interleave refinement; the intervals of 50 common bytes give each window's least document (module ``bwt``);
+- a collection of more than ``GATHER`` contexts (the edges of a passage that very many documents share) is never gathered. Its
+  contexts are cut again in the same way, by minimizers of longer runs (``RUNS``), which part it into smaller collections, and
+  so on. A run of 50 bytes is the window itself, so the last collections are of one context each and need no comparison.
+
+Documents are known by 128 bits of their id and text, contexts by 128 bits. Strings are judged on the input, whatever is removed
+elsewhere. Null text counts as empty. Rows without an id lose nothing and
 take nothing from others. Repeated rows and rows of one id lose nothing to each other, as no id is smaller. Extra columns
 stay in ``remove_repeats``; an empty table gives an empty result. Where cuts part a character of UTF-8, ``remove_repeats``
 drops its remaining bytes; the digests of ``report`` are of the exact bytes.
@@ -26,18 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coffer.llm import bwt, minimizers
 from coffer.llm.common import SMALL_ROWS, arrow, discard, lookup, store
 from coffer.llm.minimizers import WINDOW
 
-GATHER = 256
+#: Contexts that are compared together at most, and the lengths of minimizers by which more of them are parted.
+GATHER, RUNS = 256, (minimizers.K, 35, 45, WINDOW)
 #: Minimizers that a task holds before it packs them.
 ENTRIES = 800_000
 #: Bytes of contexts whose shards are merged together.
 UNIT = 1_000_000
+#: Bytes of text for each bucket of minimizers, which a task holds at a time, and for each task.
+BUCKET, DEALT = 2 << 20, 16 << 20
 
 
 def _raw(column: pa.Array) -> list[bytes]:
@@ -53,20 +58,20 @@ def _groups(mh: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, starts, np.minimum.reduceat(d, starts) < np.maximum.reduceat(d, starts) if len(starts) else np.zeros(0, dtype=bool)
 
 
-def _pack(owners: np.ndarray, docs: np.ndarray, rows: np.ndarray, mh: np.ndarray, s: np.ndarray) -> bytes:
-    """Entries in few bytes: the documents once, then for each entry its document's number, minimizer and first window."""
+def _pack(owners: np.ndarray, heads: np.ndarray, mh: np.ndarray, s: np.ndarray) -> bytes:
+    """Entries in few bytes: the documents (id and key) once, then for each entry its document's number, minimizer and first window."""
     used, number = np.unique(owners, return_inverse=True)
     head = np.array([len(used), len(mh)], dtype="<i8")
-    return b"".join(x.tobytes() for x in (head, docs[used], rows[used], mh, number.astype("<u4"), s.astype("<u4")))
+    return b"".join(x.tobytes() for x in (head, heads[used], mh, number.astype("<u4"), s.astype("<u4")))
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    """Document, row, minimizer and first window of each entry."""
+    """Document's id and key, minimizer and first window of each entry."""
     n, m = np.frombuffer(raw, "<i8", 2)
-    docs, rows = np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n, 16 + 8 * n)
-    at = 16 + 16 * n
+    heads = np.frombuffer(raw, "<i8", 3 * n, 16).reshape(-1, 3)
+    at = 16 + 24 * n
     mh, number, s = np.frombuffer(raw, "<i8", m, at), np.frombuffer(raw, "<u4", m, at + 8 * m), np.frombuffer(raw, "<u4", m, at + 12 * m)
-    return docs[number], rows[number], mh, s.astype(np.int64)
+    return heads[number, 0], heads[number, 1:], mh, s.astype(np.int64)
 
 
 def _minimizers(buckets: int):
@@ -79,11 +84,11 @@ def _minimizers(buckets: int):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            docs, rows = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            heads = np.concatenate([x[0] for x in held])
             bases = np.cumsum([0, *(len(x[0]) for x in held)])
-            owner = np.concatenate([x[2] + b for x, b in zip(held, bases, strict=False)])
-            s, mh = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
-            order, starts, shared = _groups(mh, docs[owner])
+            owner = np.concatenate([x[1] + b for x, b in zip(held, bases, strict=False)])
+            s, mh = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            order, starts, shared = _groups(mh, heads[owner, 0])
             known = np.repeat(shared, np.diff(np.r_[starts, len(mh)]))
             named = np.zeros(len(mh), dtype=bool)
             named[starts[shared]] = True
@@ -97,13 +102,13 @@ def _minimizers(buckets: int):
                 cuts = np.flatnonzero(by[at][1:] != by[at][:-1]) + 1
                 for part in np.split(at, cuts) if len(at) else []:
                     e = order[part]
-                    out.append((int(by[part[0]]), kind, _pack(owner[e], docs, rows, mh[e], s[e])))
+                    out.append((int(by[part[0]]), kind, _pack(owner[e], heads, mh[e], s[e])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "packed"])
 
         for batch in batches:
-            ids, keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc, s, _, _, h = minimizers.of_texts(_raw(batch.column(2)))
-            held.append((ids, keys, doc, s, h.view(np.int64)))
+            heads = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+            doc, s, _, _, h = minimizers.of_texts(_raw(batch.column(3)))
+            held.append((heads, doc, s, h.view(np.int64)))
             size += len(doc)
             if size >= ENTRIES:
                 yield from flush()
@@ -115,51 +120,82 @@ def _minimizers(buckets: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, first window) of minimizers in two documents, from the packed entries of a task's buckets."""
+    """Rows (r1, r2, first window) of minimizers in two documents, from packed entries sorted by bucket, one bucket at a time."""
     parts: list[tuple[np.ndarray, ...]] = []
 
-    def out(rows: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(rows), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[a : a + 200_000]), pa.array(s[a : a + 200_000])], names=["row", "s"])
+    def out(keys: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(s), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (keys[:, 0].copy(), keys[:, 1].copy(), s)], names=["r1", "r2", "s"])
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        doc, keys, mh, s, named = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order, starts, shared = _groups(mh, doc)
+        shared |= np.logical_or.reduceat(named[order], starts)
+        hit = order[np.repeat(shared, np.diff(np.r_[starts, len(mh)])) & ~named[order]]
+        yield from out(keys[hit], s[hit])
 
+    at = None
     for batch in batches:
-        for kind, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            doc, row, mh, s = _unpack(raw)
+        for bucket, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if bucket != at and parts:
+                yield from ended()
+            at = bucket
+            doc, keys, mh, s = _unpack(raw)
             if kind == 2:
-                yield from out(row, s)
+                yield from out(keys, s)
             else:
-                parts.append((doc, row, mh, s, np.full(len(mh), kind == 1)))
+                parts.append((doc, keys, mh, s, np.full(len(mh), kind == 1)))
     if parts:
-        doc, row, mh, s, named = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, starts, shared = _groups(mh, doc)
-        shared |= np.logical_or.reduceat(named[order], starts)
-        hit = order[np.repeat(shared, np.diff(np.r_[starts, len(mh)])) & ~named[order]]
-        yield from out(row[hit], s[hit])
+        yield from ended()
+
+
+def _keys_of(found: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found)).view(np.int64)
 
 
 def _contexts(whole: bool):
-    """Of a document's contexts at listed places, from (document, row, text, places): rows (minimizer, key of the context, document, row,
-    first window, windows), or if ``whole`` rows (minimizer, key, context)."""
+    """Of a document's contexts at listed places, from (id, r1, r2, text, places): rows (minimizer, key of the context, id, number of the row,
+    first window, windows, and with a document's first context its key), or if ``whole`` rows (minimizer, key, context)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
         for batch in batches:
-            raw = _raw(batch.column(2))
+            raw = _raw(batch.column(3))
             doc, s, e, _, h = minimizers.of_texts(raw)
-            lists = batch.column(3)
+            lists = batch.column(4)
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             hits = owner << 40 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             use = np.flatnonzero(np.isin(doc << 40 | s, hits))
-            ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            use = use[np.argsort(doc[use], kind="stable")]
+            before = np.r_[-1, doc[use][:-1]] if len(use) else doc[:0]
+            named = doc[use] != before
             for a in range(0, len(use), 50_000):
-                u = use[a : a + 50_000]
+                u, new = use[a : a + 50_000], named[a : a + 50_000]
                 found = [raw[d][i : j + WINDOW] for d, i, j in zip(doc[u].tolist(), s[u].tolist(), e[u].tolist(), strict=True)]
-                keys = np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=len(found)).view(np.int64)
-                head = [pa.array(h[u].view(np.int64)), pa.array(keys)]
+                head = [pa.array(h[u].view(np.int64)), pa.array(_keys_of(found))]
                 if whole:
                     yield pa.RecordBatch.from_arrays([*head, pa.array(found, pa.binary())], names=["mh", "ck", "context"])
                 else:
-                    numbers = [pa.array(x) for x in (ids[doc[u]].astype(np.int64), rows[doc[u]].astype(np.int64), s[u], e[u] - s[u] + 1)]
-                    yield pa.RecordBatch.from_arrays([*head, *numbers], names=["mh", "ck", "doc", "row", "first", "windows"])
+                    ids, r1, r2 = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[doc[u]] for i in range(3))
+                    numbers = [pa.array(x) for x in (ids, base + doc[u], s[u], e[u] - s[u] + 1)]
+                    yield pa.RecordBatch.from_arrays([*head, *numbers, *(pa.array(x, mask=~new) for x in (r1, r2))], names=["mh", "ck", "doc", "row", "first", "windows", "r1", "r2"])
+            base += batch.num_rows
+
+    return run
+
+
+def _cut_again(k: int):
+    """Contexts (mh, ck, low, context) cut by minimizers of longer runs: rows (of, of_key, first window, windows, mh, ck, low, context)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(3).to_pylist()
+            owner, s, e, _, h = minimizers.of_texts(raw, k)
+            found = [raw[d][i : j + WINDOW] for d, i, j in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True)]
+            old = [pa.array(batch.column(i).to_numpy(zero_copy_only=False)[owner]) for i in range(3)]
+            new = [pa.array(x) for x in (s, e - s + 1, h.view(np.int64), _keys_of(found))]
+            yield pa.RecordBatch.from_arrays([*old[:2], *new, old[2], pa.array(found, pa.binary())], names=["of", "of_key", "first", "windows", "mh", "ck", "low", "context"])
 
     return run
 
@@ -241,20 +277,22 @@ def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(row, runs): intervals of removed bytes, not yet united, by row key (see ``row_key``); rows that lose nothing are absent."""
+    """(r1, r2, runs): intervals of removed bytes, not yet united, by row key (see ``row_keys``); rows that lose nothing are absent."""
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("doc", row_key("doc", "text").alias("row"), "text")
-    keyed = store(rows.select("doc", "row", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"), F.octet_length("text").alias("size")).alias("k")))
+    rows = rows.select("doc", *row_keys("doc", "text"), "text")
+    keyed = store(rows.select("doc", "r1", "r2", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"), F.octet_length("text").alias("size")).alias("k")))
+    total = keyed.agg(F.sum(F.col("k.size").cast("long"))).first()[0] or 0
     copied = keyed.groupBy("k").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("k", "low")
-    copies = store(lookup(keyed, store(copied), "k", "inner").where("doc > low").select("row", F.col("k.size").alias("size")))
-    searched = lookup(rows, copies.select("row").distinct(), "row", "left_anti").select("doc", "row", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copies = store(lookup(keyed, store(copied), "k", "inner").where("doc > low").groupBy("r1", "r2").agg(F.first("k.size").alias("size")))
+    searched = lookup(rows, copies.select("r1", "r2"), ["r1", "r2"], "left_anti").select("doc", "r1", "r2", "text")
     # Minimizers of two documents at least, and where they are.
-    packed = arrow(searched, _minimizers(parts), "bucket int, kind int, packed binary").repartition(parts, "bucket").select("kind", "packed")
-    hits = store(arrow(packed, _shared, "row long, s long").groupBy("row").agg(F.collect_list("s").alias("hits")))
-    found = store(arrow(_with_places(searched, hits), _contexts(False), "mh long, ck long, doc long, row long, first long, windows long"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT))
+    packed = arrow(searched, _minimizers(max(1, -(-total // BUCKET))), "bucket int, kind int, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    hits = store(arrow(packed, _shared, "r1 long, r2 long, s long").groupBy("r1", "r2").agg(F.collect_list("s").alias("hits")))
+    found = store(arrow(_with_places(searched, hits), _contexts(False), "mh long, ck long, doc long, row long, first long, windows long, r1 long, r2 long"))
     discard(hits)
+    numbered = found.where("r1 is not null").select("row", "r1", "r2")
     # Distinct contexts by key, a place where each is, and how many each minimizer has.
     some = F.xxhash64("row", "first")
     one = [F.min_by(c, some).alias(c) for c in ("row", "first")]
@@ -263,52 +301,72 @@ def removals(docs: DataFrame) -> DataFrame:
     parted = store(distinct.join(_keyed(counted), "mh").select("mh", "ck", "low", "n", "row", "first"))
     discard(distinct)
     # Texts of contexts that must be compared.
-    wanted = store(parted.where("n > 1").groupBy("row").agg(F.collect_list("first").alias("hits")))
-    compared = store(arrow(_with_places(searched, wanted), _contexts(True), "mh long, ck long, context binary"))
-    few = parted.where((F.col("n") > 1) & (F.col("n") <= GATHER)).join(_keyed(compared), ["mh", "ck"]).select("mh", "ck", "low", "context")
-    many = parted.where(F.col("n") > GATHER).join(_keyed(compared), ["mh", "ck"]).select("mh", "ck", "low", "context")
-    least = parted.where("n = 1").select("mh", "ck", F.array("low").alias("least"))
-    least = least.unionByName(arrow(few.repartition(parts, "mh").sortWithinPartitions("mh"), _least, "mh long, ck long, least array<long>")).unionByName(_crowded(many))
-    least = store(least, SMALL_ROWS)
-    discard(parted, wanted, compared)
+    wanted = parted.where("n > 1").groupBy("row").agg(F.collect_list("first").alias("hits"))
+    wanted = store(numbered.join(_keyed(wanted), "row").select("r1", "r2", "hits"))
+    texts = store(arrow(_with_places(searched, wanted), _contexts(True), "mh long, ck long, context binary"))
+    compared = parted.where("n > 1").select("mh", "ck", "low", "n").join(_keyed(texts), ["mh", "ck"])
+    alone = parted.where("n = 1").select("mh", "ck", F.array("low").alias("least"))
+    used = [parted, wanted, texts]
+    least = store(alone.unionByName(_compared(compared, 1, used)), SMALL_ROWS)
+    discard(*used)
     answered = found.select("mh", "ck", "doc", "row", "first", "windows").join(_keyed(least), ["mh", "ck"])
     runs = arrow(answered.select("doc", "row", "first", "windows", "least"), _runs, "row long, begin long, end long")
-    whole = copies.where(F.col("size") >= WINDOW).select("row", F.lit(0).cast("long").alias("begin"), F.col("size").cast("long").alias("end"))
-    runs = store(runs.unionByName(whole).groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("runs")), SMALL_ROWS)
+    runs = runs.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))
+    whole = copies.where(F.col("size") >= WINDOW).select("r1", "r2", F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("size").cast("long").alias("end"))).alias("runs"))
+    runs = runs.join(_keyed(numbered), "row").select("r1", "r2", "runs").unionByName(whole)
+    runs = store(runs.groupBy("r1", "r2").agg(F.flatten(F.collect_list("runs")).alias("runs")), SMALL_ROWS)  # of repeated rows
     discard(keyed, copies, found, least)
     return runs
 
 
+def _compared(contexts: DataFrame, level: int, used: list[DataFrame]) -> DataFrame:
+    """(mh, ck, least) of contexts (mh, ck, low, n, context), whose minimizers are of ``RUNS[level - 1]`` bytes. n: contexts of the minimizer.
+
+    ``used`` gets the tables that the result is read from."""
+    contexts = store(contexts)
+    used.append(contexts)
+    few = contexts.where((F.col("n") > 1) & (F.col("n") <= GATHER)).select("mh", "ck", "low", "context")
+    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = contexts.where("n = 1").select("mh", "ck", F.array("low").alias("least"))
+    out = out.unionByName(arrow(few.repartition(parts, "mh").sortWithinPartitions("mh"), _least, "mh long, ck long, least array<long>"))
+    many = contexts.where(F.col("n") > GATHER).select("mh", "ck", "low", "context")
+    if level == len(RUNS) or many.isEmpty():  # of windows themselves, only contexts whose keys clash come in numbers
+        return out.unionByName(arrow(many.repartition(parts, "mh").sortWithinPartitions("mh"), _least, "mh long, ck long, least array<long>"))
+    again = store(arrow(many, _cut_again(RUNS[level]), "of long, of_key long, first long, windows long, mh long, ck long, low long, context binary"))
+    distinct = store(again.groupBy("mh", "ck").agg(F.min("low").alias("low"), F.first("context").alias("context")))
+    counted = distinct.groupBy("mh").agg(F.count("*").alias("n"))
+    deeper = [distinct]
+    solved = store(_compared(distinct.join(_keyed(counted), "mh").select("mh", "ck", "low", "n", "context"), level + 1, deeper), SMALL_ROWS)
+    discard(*deeper)
+    used += [again, solved]
+    joined = again.select("of", "of_key", "first", "windows", "mh", "ck").join(_keyed(solved), ["mh", "ck"])
+    each = F.when(F.size("least") == F.col("windows"), F.col("least")).otherwise(F.array_repeat(F.col("least")[0], F.col("windows").cast("int")))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_set(F.struct("first", each.alias("each")))), lambda x: x["each"]))  # once, of repeated rows
+    whole = joined.groupBy(F.col("of").alias("mh"), F.col("of_key").alias("ck")).agg(whole.alias("least"))
+    same = F.array_min("least") == F.array_max("least")
+    return out.unionByName(whole.select("mh", "ck", F.when(same, F.slice("least", 1, 1)).otherwise(F.col("least")).alias("least")))
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     """A side of a join with one row per key: it's hashed, so the other side, with its texts or many rows, needn't be sorted."""
     return df.hint("shuffle_hash")
 
 
 def _with_places(searched: DataFrame, places: DataFrame) -> DataFrame:
-    return searched.join(_keyed(places), "row").select("doc", "row", "text", "hits")
-
-
-def _crowded(parted: DataFrame) -> DataFrame:
-    """(mh, ck, least) by windows, for minimizers with many contexts."""
-    parted = parted.select("mh", "ck", "low", "context")
-    place = F.sequence(F.lit(1), F.length("context") - WINDOW + 1)
-    windows = parted.select("mh", "ck", "low", F.posexplode(F.transform(place, lambda i: F.substring(F.col("context"), i, F.lit(WINDOW)))).alias("place", "window"))
-    windows = windows.select("mh", "ck", "low", "place", F.xxhash64("window").alias("w1"), F.xxhash64(F.lit(2), F.col("window")).alias("w2"))
-    first = store(windows.groupBy("w1", "w2").agg(F.min("low").alias("least")))
-    joined = windows.drop("low").join(_keyed(first), ["w1", "w2"])
-    return joined.groupBy("mh", "ck").agg(F.transform(F.sort_array(F.collect_set(F.struct("place", "least"))), lambda x: x["least"]).alias("least"))
+    return searched.join(_keyed(places), ["r1", "r2"]).select("doc", "r1", "r2", "text", "hits")
 
 
-def row_key(doc: str, text: str):
-    """Key of rows that share an id and a text."""
-    return F.xxhash64(F.col(doc).cast("long"), F.coalesce(F.col(text), F.lit("")))
+def row_keys(doc: str, text: str) -> list[Column]:
+    """r1, r2: 128 bits that rows with the same id and text share."""
+    doc_id, words = F.col(doc).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(doc_id, words).alias("r1"), F.xxhash64(F.lit(2), words, doc_id).alias("r2")]
 
 
 def _joined(docs: DataFrame) -> DataFrame:
     """A struct of ``docs``' columns, whatever their names, and the intervals that it loses."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    key = F.when(F.col("doc_id").isNotNull(), row_key("doc_id", "text")).alias("row")
-    return docs.select(row, key).join(_keyed(removals(docs)), "row", "left").select("whole", "runs")
+    keys = [F.when(F.col("doc_id").isNotNull(), k).alias(f"r{i}") for i, k in enumerate(row_keys("doc_id", "text"), 1)]
+    return docs.select(row, *keys).join(_keyed(removals(docs)), ["r1", "r2"], "left").select("whole", "runs")
 
 
 def report(docs: DataFrame) -> DataFrame:

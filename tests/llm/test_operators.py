@@ -374,9 +374,10 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("gather", [256, 2])
-def test_repeats(spark, docs, rows, monkeypatch, gather):
+@pytest.mark.parametrize("gather, bucket", [(256, 2 << 20), (2, 700), (1, 5000)])
+def test_repeats(spark, docs, rows, monkeypatch, gather, bucket):
     monkeypatch.setattr(suffix_dedup, "GATHER", gather)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
     assert collected(suffix_dedup.report(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows)
 
 
@@ -400,12 +401,13 @@ def test_merged_transforms(strings):
     assert n.tolist() == [max(0, len(s) - 49) for s in raw]
 
 
-def test_equal_windows_have_equal_minimizers():
+@pytest.mark.parametrize("run", suffix_dedup.RUNS)
+def test_equal_windows_have_equal_minimizers(run):
     rng = random.Random(6)
     shared = bytes(rng.randrange(97, 100) for _ in range(200))
     texts = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(0, 300))) + shared + bytes(rng.randrange(97, 123) for _ in range(60)) for _ in range(5)]
     found = collections.defaultdict(set)
-    doc, s, e, p, h = minimizers.of_texts(texts)
+    doc, s, e, p, h = minimizers.of_texts(texts, run)
     for d, a, b, m in zip(doc, s, e, h):
         for k in range(a, b + 1):
             found[texts[d][k : k + 50]].add(int(m))
