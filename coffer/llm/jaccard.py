@@ -235,19 +235,23 @@ class Join:
         if turn < ROUNDS:  # of long documents' elements some, the same ones in near copies: the last round takes all
             step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col("n") / 128, F.lit(1.0))))).cast("long")
             few = labelled.where(F.col("token").bitwiseAND(step - 1) == 0)
-        end = F.min_by("cls", "component") if turn % 2 == 0 else F.max_by("cls", "component")
-        ends = few.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), end.alias("end")).where("low < high").select("token", "end")
-        posted = store(few.join(_dealt(ends), "token"))
-        right = posted.select(*[F.col(c).alias(c if c == "token" else f"{c}_r") for c in posted.columns])
+        # Of a list, the class with the fewest shingles of its own before is compared with the others: the least edited copy. Of lists
+        # that unlike documents share, such a class for each part with like sketches.
+        mask = F.when(F.col("n") < 64, 255).when(F.col("n") < 256, 15).otherwise(3)
+        few = few.withColumn("part", F.col(_PARTS[turn % SKETCH]).bitwiseAND(mask.cast("long")) if 0 < turn < ROUNDS else F.lit(0).cast("long"))
+        end = F.min_by("cls", F.struct("pos", (F.xxhash64("cls", F.lit(turn)))))
+        ends = few.groupBy("token", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), end.alias("end")).where("low < high").select("token", "part", "end")
+        posted = store(few.join(_dealt(ends), ["token", "part"]))
+        right = posted.select(*[F.col(c).alias(c if c in ("token", "part") else f"{c}_r") for c in posted.columns])
         pair = [F.least("cls", "cls_r").alias("a"), F.greatest("cls", "cls_r").alias("b")]
         if turn < ROUNDS:
-            met = posted.join(_dealt(right.where("cls_r = end_r")), "token").where(self.passed())
+            met = posted.join(_dealt(right.where("cls_r = end_r")), ["token", "part"]).where(self.passed())
             counted = met.groupBy("cls", "cls_r").agg(F.count("*").alias("lists"))
             out = cut(counted.groupBy("cls").agg(F.max_by("cls_r", "lists").alias("cls_r")).select(*pair).distinct())
         else:
             band = self.threshold.band
-            left = posted.withColumn("band", band(F.col("n")))
-            right = right.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band(F.col("n_r")) + F.col("up"))
+            left = posted.drop("part").withColumn("band", band(F.col("n")))
+            right = right.drop("part").withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band(F.col("n_r")) + F.col("up"))
             met = left.join(_dealt(right), ["token", "band"]).where(self.passed() & ((F.col("up") == 1) | (F.col("cls") < F.col("cls_r"))))
             out = cut(met.select(*pair).distinct())
         discard(posted)

@@ -187,6 +187,9 @@ def vectors(rng):
                 out.append((i, [float(x) for x in center + 0.07 * rng.standard_normal(16)], label))
                 i += 1
     out += [(i, out[0][1], 1), (i + 1, out[0][1], 2), (i + 2, out[0][1], None), (i + 3, None, 1), (i + 4, [0.0] * 16, 1), (i + 5, [float("nan")] + [1.0] * 15, 1), (i + 6, [None] + [1.0] * 15, 1), (i + 7, [1.0, 2.0], 1), (i + 8, [2.0, 4.0], 1), (i + 9, [], 1), out[3]]
+    near = [float(x) for x in rng.standard_normal(16)]  # a chain over vectors without an id
+    for k, name in enumerate((i + 10, None, i + 11, None)):
+        out.append((name, [*near[:15], near[15] + 0.5 * k], 2))
     return out
 
 
@@ -203,14 +206,33 @@ def test_embeddings(spark, monkeypatch, block):
     up = components.forest([(i, j) for i in range(n) for j in range(n) if link[i][j]])
     least = {}
     for i in range(n):
-        least[up.get(i, i)] = min(least.get(up.get(i, i), 1 << 60), data[i][0])
-    want = sorted((data[i][0], sum(link[i]), least[up.get(i, i)]) for i in range(n))
-    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out.collect())
-    assert got == want
-    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out.collect())
+        if data[i][0] is not None:
+            least[up.get(i, i)] = min(least.get(up.get(i, i), 1 << 60), data[i][0])
+    want = sorted(((data[i][0], sum(link[i]), least.get(up.get(i, i))) for i in range(n)), key=str)
+    assert collected(out, "vec_id", "n_links", "component_id") == want
+    assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in out.collect())
     assert not embed_dedup.dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect()
 
 
+def test_recall_at_production_bits(spark, monkeypatch):
+    """Pairs at the threshold itself, with as many bits and tables as a million classes get."""
+    bits, tables = embed_dedup.parameters(1 << 24)
+    assert bits >= 16
+    monkeypatch.setattr(embed_dedup, "parameters", lambda *a: (bits, tables))
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        x, y = rng.standard_normal(32), rng.standard_normal(32)
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        c = 0.9802 if i % 2 else 0.9798
+        rows += [(2 * i, x.tolist(), 1), (2 * i + 1, (c * x + np.sqrt(1 - c * c) * y).tolist(), 1)]
+    out = {r["vec_id"]: r["component_id"] for r in embed_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    hit = [out[2 * i + 1] == 2 * i for i in range(400)]
+    assert not any(hit[::2]) and sum(hit[1::2]) >= 198  # of 200; 0.9 is asked for
+
+
 def test_recall_parameters():
     for n in (10, 10_000, 10**9):
         bits, tables = embed_dedup.parameters(n)
