@@ -35,8 +35,8 @@ from coffer.llm import bwt, minimizers
 from coffer.llm.common import SMALL_ROWS, arrow, discard, lookup, store
 from coffer.llm.minimizers import WINDOW
 
-#: Contexts that are compared together at most, and the lengths of minimizers by which more of them are parted.
-GATHER, RUNS = 256, (minimizers.K, 35, 45, WINDOW)
+#: Contexts that are compared together at most (of 80 bytes at most, some ``UNIT``), and the lengths of minimizers by which more of them are parted.
+GATHER, RUNS = 10_000, (minimizers.K, 35, 45, WINDOW)
 #: Minimizers that a task holds before it packs them.
 ENTRIES = 800_000
 #: Bytes of contexts whose shards are merged together.
