@@ -67,7 +67,7 @@ def open_bytes(sealed: bytes, key: bytes, nonce: bytes, data: bytes) -> bytes |
     return _stir(sealed[:-TAG], key, nonce)
 
 
-def _column(function, *columns: Column) -> Column:
+def by_row(function, *columns: Column) -> Column:
     @F.pandas_udf("binary")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for series in batches:
@@ -77,8 +77,8 @@ def _column(function, *columns: Column) -> Column:
 
 
 def seal(content: Column, key: Column, nonce: Column, data: Column) -> Column:
-    return _column(seal_bytes, content, key, nonce, data)
+    return by_row(seal_bytes, content, key, nonce, data)
 
 
 def unseal(sealed: Column, key: Column, nonce: Column, data: Column) -> Column:
-    return _column(open_bytes, sealed, key, nonce, data)
+    return by_row(open_bytes, sealed, key, nonce, data)

@@ -22,10 +22,6 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def combine(*parts: Column) -> Column:
-    return F.concat_ws("/", *parts)
-
-
 def extension(name: Column) -> Column:
     """With its dot; empty if there is none."""
     return F.regexp_extract(name, r"(\.[^./]+)$", 1)

@@ -1,4 +1,4 @@
-"""AES-GCM by built-in functions, and key derivation."""
+"""AES-GCM by built-in functions, and key derivation: by hashlib, and Argon2id (see ``argon2``)."""
 
 from __future__ import annotations
 
@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from coffer.functions import argon2
 from coffer.model import KEY_SIZE, NONCE_SIZE
 
 # Fixed costs of the derivations.
 PBKDF2_ROUNDS, SCRYPT_N, SCRYPT_R, SCRYPT_P = 800_000, 262_144, 8, 1
+ARGON2_KIB, ARGON2_PASSES, ARGON2_LANES = 262_144, 4, 2
 
 
 def aes_seal(content: Column, key: Column, nonce: Column, data: Column) -> Column:
@@ -32,6 +34,8 @@ def derive_key(kind: str, password: str, salt: bytes, size: int = KEY_SIZE) -> b
         return hashlib.pbkdf2_hmac("sha1", password.encode(), salt, PBKDF2_ROUNDS, size)
     if kind == "scrypt":
         return hashlib.scrypt(password.encode(), salt=salt, n=SCRYPT_N, r=SCRYPT_R, p=SCRYPT_P, maxmem=512 << 20, dklen=size)
+    if kind == "argon2id":
+        return argon2.derive(password.encode(), salt, size, ARGON2_KIB, ARGON2_PASSES, ARGON2_LANES)
     raise ValueError(f"no such key derivation: {kind}")
 
 

@@ -72,13 +72,40 @@ def collisions(named: DataFrame, destination: str, order: str) -> DataFrame:
     return named.groupBy(F.lower(destination).alias("destination_key")).agg(F.count("*").alias("files"), F.min(order).alias("winner")).where("files > 1")
 
 
-def prefix_map(pairs: DataFrame, original: str, stored: str) -> DataFrame:
-    """Original folder prefix -> stored folder name, from pairs of paths; the least name wins where they disagree."""
+def prefix_map(pairs: DataFrame, original: str, stored: str, order: str | None = None) -> DataFrame:
+    """Original folder prefix -> stored folder name, from pairs of paths; where they disagree, the first by ``order`` wins, or without one the least."""
     o, s = F.split(original, "/"), F.split(stored, "/")
     n = F.least(F.size(o), F.size(s)) - 1
-    rows = pairs.select(o.alias("o"), s.alias("s"), n.alias("n")).where("n > 0")
-    each = rows.select("o", "s", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
-    return each.select(F.array_join(F.slice("o", F.lit(1), F.col("i")), "/").alias("prefix"), F.get("s", F.col("i") - 1).alias("name")).groupBy("prefix").agg(F.min("name").alias("name"))
+    at = F.col(order) if order else F.lit(0)
+    rows = pairs.select(o.alias("o"), s.alias("s"), n.alias("n"), at.alias("at")).where("n > 0")
+    each = rows.select("o", "s", "at", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    named = each.select(F.array_join(F.slice("o", F.lit(1), F.col("i")), "/").alias("prefix"), F.get("s", F.col("i") - 1).alias("name"), "at")
+    return named.groupBy("prefix").agg(F.min(F.struct("at", "name"))["name"].alias("name"))
+
+
+def with_known_folders(named: DataFrame, folders: DataFrame, destination: str) -> DataFrame:
+    """``named`` (relative_path, destination) with the names that ``folders`` (prefix, name) has for folders of the path, case-insensitively."""
+    o, d = F.split("relative_path", "/"), F.split(destination, "/")
+    each = named.select("relative_path", o.alias("o"), d.alias("d")).select("relative_path", "o", F.posexplode("d").alias("i", "own"))
+    each = each.withColumn("key", F.when(F.col("i") < F.size("o") - 1, F.lower(F.array_join(F.slice("o", F.lit(1), F.col("i") + 1), "/"))))
+    known = folders.groupBy(F.lower("prefix").alias("key")).agg(F.min("name").alias("name"))
+    joined = each.join(known, "key", "left").select("relative_path", F.struct("i", F.coalesce("name", "own").alias("name")).alias("part"))
+    paths = joined.groupBy("relative_path").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["name"]), "/").alias("_d"))
+    return named.join(paths, "relative_path").withColumn(destination, F.col("_d")).drop("_d")
+
+
+def with_own_names(named: DataFrame, taken: DataFrame | None, destination: str = "destination") -> DataFrame:
+    """``named`` (relative_path, destination), where of files with one destination only the first keeps it, and none that another file has in
+    ``taken`` (owner, destination). The others' names get a part from the hash of their path."""
+    key = F.lower(destination)
+    claims = named.select(key.alias("_k"), F.lit(1).alias("_rank"), F.lower("relative_path").alias("_o"))
+    if taken is not None:
+        claims = claims.unionByName(taken.select(key.alias("_k"), F.lit(0).alias("_rank"), F.lower("owner").alias("_o")))
+    holder = claims.groupBy("_k").agg(F.min(F.struct("_rank", "_o"))["_o"].alias("_holder"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    own = F.regexp_replace(destination, r"(\.[^./]*)?$", "")
+    other = F.concat(own, F.lit("-"), F.substring(F.sha2("relative_path", 256), 1, 32), F.regexp_extract(destination, r"(\.[^./]*)$", 1))
+    joined = named.withColumn("_k", key).join(holder, "_k", "left")
+    return joined.withColumn(destination, F.when(F.col("_holder").isNull() | (F.col("_holder") == F.lower("relative_path")), F.col(destination)).otherwise(other)).drop("_k", "_holder")
 
 
 def obfuscate(tree: DataFrame, root: str, mode: NameMode, content: str = "content") -> DataFrame:

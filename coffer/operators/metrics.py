@@ -35,9 +35,19 @@ def job_results(outcomes: DataFrame) -> DataFrame:
     )
 
 
+#: Steps of the order of completion that are summed in one task.
+STEPS = 1 << 16
+
+
 def progress(outcomes: DataFrame) -> DataFrame:
-    """Running files and bytes of each job in order of completion, and percent done (100 when there's nothing to do)."""
-    w = Window.partitionBy("job").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("job")
-    run = outcomes.select("job", "seq", F.count("*").over(w).alias("files"), F.sum("bytes").over(w).alias("done_bytes"), F.sum("bytes").over(whole).alias("all_bytes"))
+    """Running files and bytes of each job in order of completion, and percent done (100 when there's nothing to do).
+
+    A job is cut into blocks of the order, so a large one is many tasks' work; only sums of its blocks meet in one."""
+    cut = outcomes.select("job", "seq", "bytes", F.floor(F.col("seq") / STEPS).alias("block"))
+    sums = cut.groupBy("job", "block").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    before = Window.partitionBy("job").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("job", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b_before"), F.sum("b").over(Window.partitionBy("job")).alias("all_bytes"))
+    own = Window.partitionBy("job", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = cut.select("job", "block", "seq", F.count("*").over(own).alias("n"), F.sum("bytes").over(own).alias("b")).join(sums, ["job", "block"])
+    run = run.select("job", "seq", (F.col("n_before") + F.col("n")).alias("files"), (F.col("b_before") + F.col("b")).alias("done_bytes"), "all_bytes")
     return run.withColumn("percent", F.when(F.col("all_bytes") > 0, F.col("done_bytes") * 100.0 / F.col("all_bytes")).otherwise(100.0))

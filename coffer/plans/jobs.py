@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.functions import chacha, codec, files, keys, password
+from coffer.functions import chacha, codec, files, gcm, keys, password
 from coffer.model import MANIFEST_NAME, NONCE_SIZE, SALT_SIZE, Cipher, CompressionMode, NameMode, Operation, Request, Result
 from coffer.operators import catalog as ops
 from coffer.operators import validation
@@ -105,9 +105,7 @@ def _key(request: Request, salt: Column) -> Column:
 def _ciphers(cipher: Cipher):
     """Column functions that seal and open."""
     known = {Cipher.AES: (keys.aes_seal, keys.aes_open), Cipher.CHACHA20: (chacha.seal, chacha.unseal)}
-    if cipher not in known:
-        raise manifest.Unsupported(f"{cipher.name} isn't supported")
-    return known[cipher]
+    return known[cipher] if cipher in known else gcm.column_functions(cipher.name.lower())
 
 
 def _sealed(tree: DataFrame, request: Request) -> DataFrame:
@@ -121,10 +119,16 @@ def _sealed(tree: DataFrame, request: Request) -> DataFrame:
     return with_key.withColumn("output", _ciphers(request.cipher)[0](F.col("packed"), F.col("key"), F.col("nonce"), data)).drop("key", "packed")
 
 
-def _named(tree: DataFrame, request: Request) -> DataFrame:
-    """``tree`` with destination."""
+def _named(tree: DataFrame, request: Request, old: DataFrame | None = None) -> DataFrame:
+    """``tree`` with destination. ``old``: entries of the backup that stay; their folders' names are used again, and none of their files' names.
+
+    Two files of a folder with one content have the same hash for a name; all but one of them get a name of their own, from their path."""
     if request.use_encryption and request.name_mode != NameMode.NONE:
-        return ops.obfuscate(tree, request.source, request.name_mode).withColumnRenamed("stored_path", "destination")
+        named = ops.obfuscate(tree, request.source, request.name_mode).withColumnRenamed("stored_path", "destination")
+        if old is not None:
+            folders = ops.prefix_map(old, "original_path", "relative_path", "position").checkpoint()
+            named = ops.with_known_folders(named, folders, "destination")
+        return ops.with_own_names(named, None if old is None else old.select(F.col("original_path").alias("owner"), F.col("relative_path").alias("destination")))
     return tree.withColumn("destination", files.destination(F.col("relative_path"), request.use_encryption, int(request.compression)))
 
 
@@ -150,6 +154,9 @@ def _store(spark: SparkSession, named: DataFrame, request: Request, root: str) -
     losers = named.select("relative_path", F.lower("destination").alias("destination_key")).join(clash, "destination_key").where("relative_path <> winner")
     taken = F.format_string("%s: %s files have the name %s, which %s takes", "relative_path", "files", "destination_key", "winner")
     lost = losers.select(F.col("relative_path").alias("path"), taken.alias("error"))
+    fits = validation.file_fits(F.col("size"), F.lit(trees.free_space(root)))
+    lost = lost.unionByName(named.where(~fits).select(F.col("relative_path").alias("path"), F.format_string("%s: too little space for it", "relative_path").alias("error")))
+    named = named.where(fits)
     winners = ops.first_wins(named.select("relative_path", "destination"), "destination", "relative_path").select("relative_path")
     sealed = _sealed(named.join(winners, "relative_path", "left_semi"), request)
     hashed = sealed.withColumn("source_hash", files.content_hash(F.col("content")))
@@ -237,7 +244,8 @@ def _update(spark: SparkSession, request: Request) -> Result:
     if total:
         # A changed file keeps its stored name.
         stored = old.select(F.lower("original_path").alias("k"), F.col("relative_path").alias("kept"))
-        named = _named(tree.join(work, "relative_path", "left_semi"), request).join(stored, F.lower("relative_path") == F.col("k"), "left")
+        stays = old.join(gone, F.lower("original_path") == F.col("k"), "left_anti")
+        named = _named(tree.join(work, "relative_path", "left_semi"), request, stays).join(stored, F.lower("relative_path") == F.col("k"), "left")
         named = named.withColumn("destination", F.coalesce("kept", "destination")).drop("k", "kept")
         entries_new, n, size, failures = _store(spark, named, request, request.destination)
         errors = _shown(failures)
@@ -261,7 +269,7 @@ def run(spark: SparkSession, request: Request) -> Result:
     job = {Operation.ENCRYPT: _create, Operation.DECRYPT: _restore, Operation.UPDATE: _update}[request.operation]
     try:
         return dataclasses.replace(job(spark, request), warnings=tuple(found))
-    except (manifest.WrongPassword, manifest.Unsupported) as e:
+    except manifest.WrongPassword as e:
         return Result(False, errors=(str(e),), warnings=tuple(found))
 
 

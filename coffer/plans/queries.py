@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.functions import codec, files, keys
+from coffer.functions import argon2, chacha, codec, files, gcm, keys
 from coffer.functions import password as pw
 from coffer.model import FAMILIES, CompressionMode, NameMode, catalog
 from coffer.operators import catalog as ops
 from coffer.operators import metrics, validation
+from coffer.shipping import ship
 
 ROOT, NEW_IDS, FREE_SPACE = "/backup", 1_000_000_000, 3_000_000
 
@@ -253,11 +256,54 @@ def aes_gcm_documents(spark, sf_dir):
     return _aes_gcm(_table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")))
 
 
-def kdf_vectors(spark, sf_dir):
-    from coffer.shipping import ship
+def cipher_documents(spark, sf_dir):
+    """The whole text of every document, sealed and opened by each cipher that Spark lacks; opened with another nonce, it fails."""
+    ship(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    key, data = F.lit(bytearray(range(32))), F.lit(bytearray(b"associated"))
+    nonce, other = F.lit(bytearray(range(12))), F.lit(bytearray(12))
+    out = None
+    for kind, (seal, unseal) in {"chacha20": (chacha.seal, chacha.unseal), **{k: gcm.column_functions(k) for k in gcm.CIPHERS}}.items():
+        sealed = docs.withColumn("sealed", seal(F.col("content"), key, nonce, data))
+        both = sealed.withColumns({"opened": unseal(F.col("sealed"), key, nonce, data), "wrong": unseal(F.col("sealed"), key, other, data)})
+        rows = both.select("doc_id", F.lit(kind).alias("cipher"), F.length("sealed").cast("long").alias("sealed_length"), F.sha2("opened", 256).alias("digest"), F.col("wrong").isNull().alias("wrong_fails"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: Published test vectors of block ciphers with keys of 256 bits: key, block, enciphered block.
+BLOCK_VECTORS = {
+    "twofish": ("00" * 32, "00" * 16, "57ff739d4dc92c1bd7fc01700cc8216f"),
+    "serpent": ("80" + "00" * 31, "00" * 16, "a223aa1288463c0e2be38ebd825616c0"),
+    "camellia": ("0123456789abcdeffedcba987654321000112233445566778899aabbccddeeff", "0123456789abcdeffedcba9876543210", "9acc237dff16d76c20ef7c919e3a7509"),
+}
+#: RFC 9106, 5.3: the test vector of Argon2id; and by other libraries, 32 bytes from "password" and eight times "salt" at the fixed costs.
+ARGON2_VECTOR = "0d640df58d78766c08c037a34a8b53c9d01ef0452d75b65eb52520e96b01e659"
+KDF_VECTORS = {"pbkdf2": "910479a9c0445d668f94bf61ce8c67081a5e3cf7d3232a61871b103180bb24b8", "scrypt": "948b78fd3b8f0ef44895b9b43a5e2a3c5871f6428e154b4601ac2788a5b9b051"}
+
+
+def cipher_vectors(spark, sf_dir):
+    """One block by each cipher, and the key of the standard's Argon2id vector."""
+    ship(spark)
 
+    @F.pandas_udf("string")
+    def run(names: pd.Series, ks: pd.Series, texts: pd.Series) -> pd.Series:
+        out = []
+        for name, key, text in zip(names, ks, texts, strict=True):
+            if name == "argon2id":
+                found = argon2.in_numpy(b"\1" * 32, b"\2" * 16, 32, 32, 3, 4, b"\3" * 8, b"\4" * 12)
+            else:
+                found = gcm.CIPHERS[name](bytes.fromhex(key))(np.frombuffer(bytes.fromhex(text), np.uint8).reshape(1, 16)).tobytes()
+            out.append(found.hex())
+        return pd.Series(out, dtype=object)
+
+    rows = spark.createDataFrame([*((k, *v[:2]) for k, v in BLOCK_VECTORS.items()), ("argon2id", "", "")], "name string, key string, text string")
+    return rows.select("name", run("name", "key", "text").alias("result"))
+
+
+def kdf_vectors(spark, sf_dir):
     ship(spark)
-    rows = spark.createDataFrame([("pbkdf2", "password", bytearray(b"salt" * 8)), ("scrypt", "password", bytearray(b"salt" * 8))], "kind string, password string, salt binary")
+    rows = spark.createDataFrame([(k, "password", bytearray(b"salt" * 8)) for k in KDF_VECTORS], "kind string, password string, salt binary")
     return rows.select("kind", F.lower(F.hex(keys.derive(F.col("kind"), F.col("password"), F.col("salt")))).alias("key"))
 
 
@@ -265,7 +311,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """manifest_diff_summary manifest_snapshot manifest_diff deleted_files unchanged_carry_forward manifest_after_update manifest_last_wins restore_destinations destinations
     obfuscate_sha256 obfuscate_sha512 obfuscate_guid obfuscation_collisions dir_prefix_map path_containment result_metrics progress_running byte_size_format validation_warnings password_validity
     password_pool password_repetition password_sequence password_pattern password_year password_class password_leet password_strength password_description algorithm_catalog header_parse bzc_magic
-    zstd_roundtrip aes_gcm_roundtrip aes_gcm_documents kdf_vectors"""
+    zstd_roundtrip aes_gcm_roundtrip aes_gcm_documents cipher_documents cipher_vectors kdf_vectors"""
     return {n: globals()[n] for n in names.split()}
 
 
@@ -339,6 +385,10 @@ def oracle_sql() -> dict[str, str]:
         "destinations": with_tree + "SELECT relative_path, CAST(doc_id % 4 AS INT) AS compression, CASE WHEN doc_id % 4 <> 0 THEN relative_path || '.bzc' ELSE relative_path END AS plain, relative_path || '.bzc' AS encrypted FROM tree",
         "obfuscate_sha256": f"WITH {_SQL_TREE}, {stored} SELECT relative_path, stored_path FROM stored",
         "obfuscation_collisions": f"WITH {_SQL_TREE}, {stored} SELECT lower(stored_path) AS destination_key, count(*) AS files, min(relative_path) AS winner FROM stored GROUP BY 1 HAVING count(*) > 1",
+        "cipher_documents": """SELECT doc_id, cipher, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS sealed_length, sha256(coalesce(text, '')) AS digest, true AS wrong_fails
+            FROM documents, (SELECT unnest(['chacha20', 'twofish', 'serpent', 'camellia']) AS cipher)""",
+        "cipher_vectors": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in {**{k: v[2] for k, v in BLOCK_VECTORS.items()}, "argon2id": ARGON2_VECTOR}.items()) + ") AS t(name, result)",
+        "kdf_vectors": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in KDF_VECTORS.items()) + ") AS t(kind, key)",
         "dir_prefix_map": f"""WITH {pages}, seg AS (SELECT string_split(path, '/') AS o FROM pg), e AS (SELECT o, unnest(range(1, len(o))) AS i FROM seg)
             SELECT array_to_string(o[1:i], '/') AS prefix, min(substr(sha256(o[i]), 1, 12)) AS name FROM e GROUP BY 1""",
         "path_containment": f"""WITH {pages}, b AS (SELECT page_id + 1 AS page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(path, '/?[^/]*$', '') ELSE upper(string_split(path, '/')[1]) END AS other FROM pg),

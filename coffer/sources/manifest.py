@@ -12,24 +12,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.functions import chacha, keys
+from coffer.functions import chacha, gcm, keys
 from coffer.model import HEADER_SIZE, MANIFEST_NAME, NONCE_SIZE, SALT_SIZE, Cipher, CompressionMode, KeyDerivation, NameMode
 
 SCHEMA = "relative_path string, original_path string, salt binary, nonce binary, source_hash string, position long"
 #: Names in the document, by column.
 NAMES = {"relative_path": "RelativePath", "original_path": "OriginalRelativePath", "salt": "Salt", "nonce": "Nonce", "source_hash": "SourceHash"}
 HEADER = {"cipher": ("EncryptionAlgorithm", Cipher), "key_derivation": ("KeyDerivationAlgorithm", KeyDerivation), "name_mode": ("NameObfuscation", NameMode), "compression": ("Compression", CompressionMode)}
-_DERIVED = {KeyDerivation.PBKDF2: "pbkdf2", KeyDerivation.SCRYPT: "scrypt"}
+_DERIVED = {KeyDerivation.ARGON2ID: "argon2id", KeyDerivation.PBKDF2: "pbkdf2", KeyDerivation.SCRYPT: "scrypt"}
 
 
 class WrongPassword(ValueError):
     """The tag of a sealed manifest doesn't fit."""
 
 
-class Unsupported(ValueError):
-    """An algorithm that isn't there yet."""
-
-
 def kind_of(root: str) -> str:
     """``none``, ``plain`` or ``sealed``, by the first byte."""
     path = Path(root, MANIFEST_NAME)
@@ -40,8 +36,6 @@ def kind_of(root: str) -> str:
 
 
 def derivation(kind: KeyDerivation) -> str:
-    if kind not in _DERIVED:
-        raise Unsupported(f"{kind.name} isn't supported")
     return _DERIVED[kind]
 
 
@@ -55,6 +49,8 @@ def seal(spark: SparkSession, raw: bytes, password: str, kind: KeyDerivation, ci
     key = keys.derive_key(derivation(kind), password, head[:SALT_SIZE])
     if cipher == Cipher.CHACHA20:
         return head + chacha.seal_bytes(raw, key, head[SALT_SIZE:-1], head)
+    if cipher != Cipher.AES:
+        return head + gcm.seal_bytes(cipher.name.lower(), raw, key, head[SALT_SIZE:-1], head)
     column = keys.aes_seal(F.col("content"), F.lit(bytearray(key)), F.lit(bytearray(head[SALT_SIZE:-1])), F.lit(bytearray(head)))
     return head + _one(spark, raw, column)
 
@@ -66,6 +62,8 @@ def unseal(spark: SparkSession, raw: bytes, password: str, kind: KeyDerivation,
     key = keys.derive_key(derivation(kind), password, head[:SALT_SIZE])
     if cipher == Cipher.CHACHA20:
         out = chacha.open_bytes(body, key, head[SALT_SIZE:-1], head)
+    elif cipher != Cipher.AES:
+        out = gcm.open_bytes(cipher.name.lower(), body, key, head[SALT_SIZE:-1], head)
     else:
         out = _one(spark, body, keys.aes_open(F.col("content"), F.lit(bytearray(key)), F.lit(bytearray(head[SALT_SIZE:-1])), F.lit(bytearray(head))))
     if out is None:
@@ -82,8 +80,6 @@ def read(spark: SparkSession, root: str, password: str = "") -> tuple[dict, Data
     if raw[:1] != b"{":
         if len(raw) < 2 or raw[0] not in list(Cipher) or raw[1] not in list(KeyDerivation):
             return None
-        if raw[0] not in (Cipher.AES, Cipher.CHACHA20):
-            raise Unsupported(f"{Cipher(raw[0]).name} isn't supported")
         raw = unseal(spark, raw[2:], password, KeyDerivation(raw[1]), Cipher(raw[0]))
     try:
         document = json.loads(raw)

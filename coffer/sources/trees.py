@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coffer.functions import files
-from coffer.model import HEADER_SIZE, MANIFEST_NAME
 from coffer.shipping import ship
 
 
@@ -50,11 +49,6 @@ def scan(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame
     return found.unionByName(missed) if empty else found
 
 
-def payloads(tree: DataFrame) -> DataFrame:
-    """Files that can hold a header."""
-    return tree.where((F.col("size") >= HEADER_SIZE) & (F.lower("relative_path") != MANIFEST_NAME))
-
-
 def write(rows: DataFrame, root: str) -> DataFrame:
     """Writes (destination, output) under a root: each file under another name first, then renamed, so a retried or repeated task
     leaves whole files only. Gives destination and error (null where it went well)."""
