@@ -33,7 +33,7 @@ def rotations(data: np.ndarray) -> np.ndarray:
     r8 = _ranks(packed)
     r16 = _ranks(r8 * n + np.roll(r8, -8))
     r32 = _ranks(r16 * n + np.roll(r16, -16))
-    return np.argsort(r32 * n + np.roll(r32, -(DEPTH - 32)), kind="stable")
+    return np.argsort(r32 * n + np.roll(r32, -(DEPTH - 32)))  # what is equal in so many bytes may stand in any order
 
 
 def transform(data: np.ndarray) -> np.ndarray:

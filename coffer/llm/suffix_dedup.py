@@ -35,14 +35,14 @@ from coffer.llm import bwt, minimizers
 from coffer.llm.common import SMALL_ROWS, arrow, discard, lookup, store
 from coffer.llm.minimizers import WINDOW
 
-#: Contexts that are compared together at most (of 80 bytes at most, some ``UNIT``), and the lengths of minimizers by which more of them are parted.
+#: Contexts that are compared together at most (of 80 bytes at most, so under 1 MB), and the lengths of minimizers by which more of them are parted.
 GATHER, RUNS = 10_000, (minimizers.K, 35, 45, WINDOW)
 #: Minimizers that a task holds before it packs them.
 ENTRIES = 800_000
-#: Bytes of contexts whose shards are merged together.
-UNIT = 1_000_000
+#: Bytes of contexts whose shards are merged together: as much as a CPU's cache holds.
+UNIT = 250_000
 #: Bytes of text for each bucket of minimizers, which a task holds at a time, and for each task.
-BUCKET, DEALT = 2 << 20, 16 << 20
+BUCKET, DEALT = 4 << 20, 16 << 20
 
 
 def _raw(column: pa.Array) -> list[bytes]:
@@ -60,7 +60,9 @@ def _groups(mh: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _pack(owners: np.ndarray, heads: np.ndarray, mh: np.ndarray, s: np.ndarray) -> bytes:
     """Entries in few bytes: the documents (id and key) once, then for each entry its document's number, minimizer and first window."""
-    used, number = np.unique(owners, return_inverse=True)
+    # Owners come sorted.
+    new = np.r_[True, owners[1:] != owners[:-1]]
+    used, number = owners[new], np.cumsum(new) - 1
     head = np.array([len(used), len(mh)], dtype="<i8")
     return b"".join(x.tobytes() for x in (head, heads[used], mh, number.astype("<u4"), s.astype("<u4")))
 
@@ -167,7 +169,6 @@ def _contexts(whole: bool):
             owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             hits = owner << 40 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             use = np.flatnonzero(np.isin(doc << 40 | s, hits))
-            use = use[np.argsort(doc[use], kind="stable")]
             before = np.r_[-1, doc[use][:-1]] if len(use) else doc[:0]
             named = doc[use] != before
             for a in range(0, len(use), 50_000):
