@@ -2,7 +2,7 @@
 
 Pieces are cut at the window. A block's remainders make a histogram of length classes. Every combination of at most
 ``DEPTH`` classes that fills the window exactly is a candidate; non-negative least squares gives each one's repeat
-count, counts are rounded down, and what is left is packed greedily (longest first, best fit). What doesn't fill a
+count, counts are rounded, and what is left is packed greedily (longest first, best fit). What doesn't fill a
 window at the end of a partition is cut at powers of two, which need no padding.
 
 Each partition is packed by itself, in blocks of a bounded number of tokens, so nothing is shuffled, a hot source or

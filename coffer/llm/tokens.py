@@ -39,7 +39,7 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[int, int, int]],
 @functools.cache
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids as uint32. tiktoken runs the vocabulary's merges several times as fast as tokenizers, with the same
-    ids (a vocabulary's ids are its ranks; tests compare both on all code points); tokenizers is the way out if it can't."""
+    ids (a vocabulary's ids are its ranks; tests compare both on random texts); tokenizers is the way out if it can't."""
     import tiktoken
     from tokenizers import Tokenizer
 

@@ -109,11 +109,12 @@ def test_packing(spark, docs, rows):
     for i, t in want.elements():
         ids[i, len(t)].append(t)
     for key, several in ids.items():
-        expected = collections.Counter()
         assert sum(n for _, n, _ in pieces[key]) == sum(len(t) for t in several)
+        seen = collections.Counter()
         for s, n, crc in pieces[key]:
             assert any(zlib.crc32(np.array(t[s : s + n], "<u4").tobytes()) == crc for t in several)
-            expected[s] += 1
+            seen.update(range(s, s + n))
+        assert seen == collections.Counter(k for t in several for k in range(len(t)))  # each id is in one piece
     used = collections.Counter()
     for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == used[r["sequence_id"]]
