@@ -385,6 +385,7 @@ def oracle_sql() -> dict[str, str]:
         "destinations": with_tree + "SELECT relative_path, CAST(doc_id % 4 AS INT) AS compression, CASE WHEN doc_id % 4 <> 0 THEN relative_path || '.bzc' ELSE relative_path END AS plain, relative_path || '.bzc' AS encrypted FROM tree",
         "obfuscate_sha256": f"WITH {_SQL_TREE}, {stored} SELECT relative_path, stored_path FROM stored",
         "obfuscation_collisions": f"WITH {_SQL_TREE}, {stored} SELECT lower(stored_path) AS destination_key, count(*) AS files, min(relative_path) AS winner FROM stored GROUP BY 1 HAVING count(*) > 1",
+        "aes_gcm_documents": "SELECT doc_id, CAST(octet_length(encode(text)) + 16 AS BIGINT) AS sealed_length, sha256(text) AS digest, true AS wrong_fails FROM documents",
         "cipher_documents": """SELECT doc_id, cipher, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS sealed_length, sha256(coalesce(text, '')) AS digest, true AS wrong_fails
             FROM documents, (SELECT unnest(['chacha20', 'twofish', 'serpent', 'camellia']) AS cipher)""",
         "cipher_vectors": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in {**{k: v[2] for k, v in BLOCK_VECTORS.items()}, "argon2id": ARGON2_VECTOR}.items()) + ") AS t(name, result)",
