@@ -3,8 +3,8 @@
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. Candidates for more are numbers with separators,
 names after a title or with a listed given name, and handles. Regular-expression, gazetteer and context labelers vote for,
 against or not at all. A first pass over all documents counts the codes (votes and span features) of all candidates; there
-are at most ``1 << BITS`` codes, so the counts that reach the driver are bounded. Expectation-maximisation over them estimates
-the labelers' reliabilities; a logistic model on the features, fitted to its posteriors, gives each code a probability.
+are at most ``1 << BITS`` codes, so the counts that reach the driver are bounded. Expectation-maximisation over the votes estimates
+the labelers' reliabilities; a logistic model on the features alone, fitted to its posteriors, gives each code a probability.
 A second pass adds the candidates that reach ``ACCEPT`` and overlap no base span.
 
 Null text counts as empty; null or repeated ids and extra columns pass, as rows are never joined; an empty table gives an
@@ -75,7 +75,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # Fixed word lists of the gazetteer and context labelers.
 _TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Madame", "Monsieur")
-_GIVEN = frozenset("James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Maria Peter Paul Hans Klaus Jürgen Pierre Marie Jean José Juan Carlos Carmen".split())
+_GIVEN = frozenset(
+    "Adam Alan Alice Amanda Amy Andrew Angela Ann Anna Anne Anthony Antonio Barbara Benjamin Betty Brian Carlos Carmen Carol Caroline Catherine Charles Christine Christopher Claire "
+    "Daniel David Deborah Dennis Diana Donald Donna Dorothy Edward Elena Elizabeth Emily Emma Eric Erik Eva Fatima Francisco Frank Franz Gary George Gerhard Giovanni Giulia Gregory "
+    "Hans Heather Heidi Helen Helga Henry Ingrid Isabel Ivan Jack Jacob James Jane Janet Jason Javier Jean Jeffrey Jennifer Jessica Joan John Jonathan José Joseph Joshua Juan Julia Jürgen "
+    "Karen Karl Kathleen Kenneth Kevin Kimberly Klaus Larry Laura Lisa Linda Lucia Luis Manuel Margaret Maria Marie Mark Martha Mary Matthew Michael Michelle Miguel Mohammed Nancy Nicole "
+    "Olga Pamela Patricia Paul Pedro Peter Philippe Pierre Rachel Rebecca Richard Robert Ronald Ruth Ryan Samantha Sandra Sarah Scott Sharon Sofia Stephanie Stephen Steven Susan "
+    "Thomas Timothy Ursula Virginia Walter William Wolfgang".split()
+)
 _CUES = re.compile(r"(?:phone|tel|call|mobile|fax|ssn|social security|passport|iban|account|licen[cs]e no|id no|born|birth|name|contact|patient|customer|teléfono|telefon|téléphone)\b[^\n]{0,12}$", re.I)
 _AGAINST = re.compile(r"(?:version|figure|table|page|isbn|total|price|order|equation|chapter|\$|€|£|%|#)\s*$", re.I)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.,+])[0-9](?:[\x20()./-]{0,2}[0-9]){5,21}(?![0-9A-Za-z]|[.,][0-9])")
@@ -84,38 +91,38 @@ _HANDLE = re.compile(r"(?<![\w@.])@[A-Za-z][A-Za-z0-9_]{2,30}\b")
 _SHAPED = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{4,8}")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[/.-][01]?[0-9][/.-][0-3]?[0-9]|[0-3]?[0-9][/.-][01]?[0-9][/.-](?:19|20)[0-9]{2}")
 
-LABELERS = ("shape", "cue", "gazetteer", "title", "against", "bare")
-FEATURES = ("number", "name", "separated", "long", "cued", "against")
-#: Two bits for each labeler, one for each feature.
-BITS = 2 * len(LABELERS) + len(FEATURES)
+#: Labelers and the vote that each gives when it gives one: 1 for personal data, 2 against.
+LABELERS = {"shape": 1, "cue": 1, "gazetteer": 1, "title": 1, "against": 2, "bare": 2}
+#: What the classifier sees: the span's kind, form and neighbours.
+FEATURES = ("number", "name", "cued", "against", "titled", "listed", "shaped", "dated", "parts", "long", "uniform", "marked", "ended")
+#: One bit for each labeler and feature.
+BITS = len(LABELERS) + len(FEATURES)
+_PART = re.compile(r"[0-9]+|[^\W\d_]+")
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(start, number of the kind after BASE, end, code) of candidate spans. A vote is 0 (none), 1 (for) or 2 (against)."""
+    """(start, number of the kind after BASE, end, code) of candidate spans. A code has a bit for each labeler that votes and each feature that holds."""
     for kind, pattern in enumerate((_NUMBER, _NAME, _HANDLE)):
         if kind == 2 and "@" not in text:
             continue
         for m in pattern.finditer(text):
             span, before = m[0], text[max(0, m.start() - CONTEXT) : m.start()]
             cued, against = bool(_CUES.search(before)), bool(_AGAINST.search(before))
-            separated = kind == 0 and not span.isdigit()
             first = span.split(" ", 1)[0].rstrip(".")
-            votes = (
-                1 if kind == 0 and _SHAPED.fullmatch(span) else 0,
-                1 if cued else 0,
-                1 if kind == 1 and any(w in _GIVEN for w in span.split()) else 0,
-                1 if kind == 1 and first in _TITLES else 0,
-                2 if against or kind == 0 and _DATE.fullmatch(span) else 0,
-                0,
-            )
-            if 1 not in votes:  # nothing speaks for it
-                votes = (*votes[:-1], 2)
-            features = (kind == 0, kind == 1, separated, len(span) > 12, cued, against)
+            shaped = kind == 0 and bool(_SHAPED.fullmatch(span))
+            dated = kind == 0 and bool(_DATE.fullmatch(span))
+            listed = kind == 1 and any(w in _GIVEN for w in span.split())
+            titled = kind == 1 and first in _TITLES
+            voting = (shaped, cued, listed, titled, against or dated)
+            voting = (*voting, not any(voting[:4]))  # bare: nothing speaks for it
+            parts = len(_PART.findall(span))
+            uniform = len({c for c in span if not c.isalnum()}) < 2
+            marked = before.rstrip(" ").endswith((":", "="))
+            ended = text[m.end() : m.end() + 1] in ("", "\n", ".", ",", ";", ")")
+            features = (kind == 0, kind == 1, cued, against, titled, listed, shaped, dated, parts > 2, len(span) > 12, uniform, marked, ended)
             code = 0
-            for v in votes:
-                code = code << 2 | v
-            for f in features:
-                code = code << 1 | f
+            for bit in (*voting, *features):
+                code = code << 1 | bit
             yield m.start(), len(BASE) + kind, m.end(), code
 
 
@@ -126,11 +133,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unpack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Votes and features of codes."""
-    k, f = len(LABELERS), len(FEATURES)
-    votes = np.stack([codes >> (f + 2 * (k - 1 - i)) & 3 for i in range(k)], axis=1)
-    features = np.stack([codes >> (f - 1 - i) & 1 for i in range(f)], axis=1)
-    return votes.astype(int), features.astype(float)
+    """Votes (0 where a labeler gives none) and features of codes."""
+    bits = np.stack([codes >> (BITS - 1 - i) & 1 for i in range(BITS)], axis=1).astype(int)
+    k = len(LABELERS)
+    return bits[:, :k] * np.array(list(LABELERS.values())), bits[:, k:].astype(float)
 
 
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
@@ -169,18 +175,16 @@ def logistic(features: np.ndarray, target: np.ndarray, counts: np.ndarray, round
 
 
 class Classifier:
-    """Span probabilities by code."""
+    """Span probabilities by code. The posteriors of the votes are its targets only: it sees the features of span and context."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        votes, features = unpack(codes)
-        posterior, self.reliabilities = expectation_maximisation(votes, counts) if len(codes) else (np.zeros(0), np.zeros((len(LABELERS), 2, 3)))
-        self.weights = logistic(self._inputs(votes, features), posterior, counts) if len(codes) else np.r_[np.zeros(len(FEATURES) + 2 * len(LABELERS)), -3.0]
-        p = 1 / (1 + np.exp(-np.clip(np.c_[self._inputs(votes, features), np.ones(len(codes))] @ self.weights, -30, 30))) if len(codes) else np.zeros(0)
-        self.probability = dict(zip(codes.tolist(), p.tolist(), strict=True))
-
-    @staticmethod
-    def _inputs(votes: np.ndarray, features: np.ndarray) -> np.ndarray:
-        return np.c_[features, votes == 1, votes == 2]
+        self.reliabilities, self.weights, self.probability = np.zeros((len(LABELERS), 2, 3)), np.r_[np.zeros(len(FEATURES)), -3.0], {}
+        if len(codes):
+            votes, features = unpack(codes)
+            posterior, self.reliabilities = expectation_maximisation(votes, counts)
+            self.weights = logistic(features, posterior, counts)
+            p = 1 / (1 + np.exp(-np.clip(np.c_[features, np.ones(len(codes))] @ self.weights, -30, 30)))
+            self.probability = dict(zip(codes.tolist(), p.tolist(), strict=True))
 
 
 def train(docs: DataFrame, text_column: str = "text") -> Classifier:

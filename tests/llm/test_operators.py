@@ -95,6 +95,30 @@ def test_secret_models(spark):
     assert set(flat) == {0.0}
 
 
+def test_all_spans_of_texts_with_many(spark):
+    """Added spans by their definition, in texts with more matches than are added up in one go."""
+    rng = random.Random(8)
+    letters = secrets.ALPHABET[:62]
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    parts = [lambda: f"token = '{key(12)}'", lambda: key(30), lambda: "maximum_number_of_items", lambda: "AKIA" + key(20).upper(), lambda: hashlib.sha1(key(3).encode()).hexdigest(), lambda: "mot é 日本"]
+    texts = [" ".join(rng.choice(parts)() for _ in range(n)) for n in (0, 1, 40, 1500, 3000)] + ["", None]
+    ratios = secrets.train(secrets.samples(spark))
+    size = len(secrets.ALPHABET)
+    want = {}
+    for i, t in enumerate(texts):
+        base = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t or "") if len(m[1]) >= 6]
+        base += [(m.start(), k, m.end()) for k, p in ((1, secrets.ACCESS), (2, secrets.HEX)) for m in re.finditer(p, t or "")]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t or ""):
+            codes = [secrets.ALPHABET.index(c) for c in m[0]]
+            mean = sum(ratios[a * size + b] for a, b in zip(codes, codes[1:])) / (len(codes) - 1)
+            if mean >= secrets.ACCEPT and not any(k < 3 and a < m.end() and m.start() < b for a, k, b in base):
+                base.append((m.start(), 3, m.end()))
+        want[i] = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base))
+    out = secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["spans"] for r in out.collect()} == want
+    assert want[4].count("random") > 200
+
+
 # --- 2: packing
 
 
@@ -530,6 +554,60 @@ def test_weak_supervision():
     assert said["call phone 555-123-4567"] and said["Dr. Anna Smith"] and not said["version 12 34 56 78"] and not said["id 1234567890123"]
 
 
+def labelled_sentences(n):
+    """Sentences with one number, name or handle each: text, start, end, whether it's personal data."""
+    rng = random.Random(5)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    private = [
+        lambda: ("call phone ", f"{d(3)}-{d(3)}-{d(4)}", " today"),
+        lambda: ("tel: ", f"0{d(3)} {d(6)}", "."),
+        lambda: ("their ssn ", f"{d(3)}-{d(2)}-{d(4)}", ", then"),
+        lambda: ("met ", f"Dr. {rng.choice(('Anna Smith', 'Berto Lindqvist', 'Xu Tanaka'))}", " there"),
+        lambda: ("and ", rng.choice(("Karen Jones", "Pedro Alvarez")), ", who"),
+    ]
+    public = [
+        lambda: ("version ", f"{d(2)} {d(2)} {d(2)} {d(2)}", " is"),
+        lambda: ("on ", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", " we"),
+        lambda: ("total $", d(8), " for"),
+        lambda: ("code ", d(11), " of"),
+        lambda: ("figure ", f"{d(3)}-{d(4)}", " shows"),
+        lambda: ("row ", f"{d(4)} {d(4)}", " ends"),
+    ]
+    out = []
+    for _ in range(n):
+        good = rng.random() < 0.4
+        a, s, b = rng.choice(private if good else public)()
+        out.append((a + s + b, len(a), len(a) + len(s), good))
+    return out
+
+
+def test_added_spans_of_labelled_sentences(spark):
+    """The labels are never seen in training."""
+    rows = labelled_sentences(800)
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    model = pii.train(df)
+    caught = wrong = 0
+    for r in pii.detect(df, model).collect():
+        _, start, end, good = rows[r["doc_id"]]
+        found = {(x["start"], x["end"]) for x in r["spans"]}
+        caught += good and (start, end) in found
+        wrong += not good and bool(found)
+    assert caught >= 0.95 * sum(good for *_, good in rows)
+    assert wrong <= 0.1 * caught
+
+
+def test_classifier_sees_features_and_not_votes():
+    n = collections.Counter(c for t, *_ in labelled_sentences(400) for *_, c in pii.candidates(t))
+    codes = np.array(sorted(n))
+    model = pii.Classifier(codes, np.array([n[c] for c in sorted(n)], float))
+    assert len(model.weights) == len(pii.FEATURES) + 1
+    votes, features = pii.unpack(codes)
+    for code, v, f in zip(codes.tolist(), votes, features):
+        bits = [int(b) for b in f"{code:0{pii.BITS}b}"]
+        assert [int(x > 0) for x in v] + f.astype(int).tolist() == bits
+        assert model.probability[code] == pytest.approx(1 / (1 + np.exp(-(f @ model.weights[:-1] + model.weights[-1]))))
+
+
 # --- queries and the pipeline
 
 
