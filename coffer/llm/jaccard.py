@@ -217,6 +217,8 @@ class Join:
 
     def verified(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """``pairs`` (kept) with ``linked``, by whole sets. ``found``: classes, with the key of a row of each."""
+        if pairs.isEmpty():  # else adaptive execution ends early, while tasks still read what is discarded below
+            return pairs.withColumn("linked", F.lit(False))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         wanted = cut(lookup(found.select("cls", "r1", "k1", "k2"), cut(wanted), "cls", "left_semi"))
         some = lookup(self.docs.select("r1", "text"), wanted, "r1", "inner").select("cls", "k1", "k2", "text")
