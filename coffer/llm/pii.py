@@ -86,7 +86,9 @@ _GIVEN = frozenset(
 _CUES = re.compile(r"(?:phone|tel|call|mobile|fax|ssn|social security|passport|iban|account|licen[cs]e no|id no|born|birth|name|contact|patient|customer|teléfono|telefon|téléphone)\b[^\n]{0,12}$", re.I)
 _AGAINST = re.compile(r"(?:version|figure|table|page|isbn|total|price|order|equation|chapter|\$|€|£|%|#)\s*$", re.I)
 _NUMBER = re.compile(r"(?<![0-9A-Za-z.,+])[0-9](?:[\x20()./-]{0,2}[0-9]){5,21}(?![0-9A-Za-z]|[.,][0-9])")
-_NAME = re.compile(rf"\b(?:(?:{'|'.join(_TITLES)})\.?\x20|(?:{'|'.join(sorted(_GIVEN))})\x20)[A-Z][^\W\d_]+(?:\x20[A-Z][^\W\d_]+)?")
+# A listed word is looked up, as a pattern of all of them would try each at every word.
+_CAPITAL = re.compile(r"\b[A-Z][^\W\d_]+(?=\.?\x20[A-Z])")
+_REST = re.compile(r"(\.?)\x20[A-Z][^\W\d_]+(?:\x20[A-Z][^\W\d_]+)?")
 _HANDLE = re.compile(r"(?<![\w@.])@[A-Za-z][A-Za-z0-9_]{2,30}\b")
 _SHAPED = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[0-9]{2,4}[\x20/-][0-9]{4,8}")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[/.-][01]?[0-9][/.-][0-3]?[0-9]|[0-3]?[0-9][/.-][01]?[0-9][/.-](?:19|20)[0-9]{2}")
@@ -100,13 +102,21 @@ BITS = len(LABELERS) + len(FEATURES)
 _PART = re.compile(r"[0-9]+|[^\W\d_]+")
 
 
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of a title or a listed given name and one or two words after it."""
+    last = 0
+    for m in _CAPITAL.finditer(text):
+        if m.start() >= last and ((titled := m[0] in _TITLES) or m[0] in _GIVEN) and (rest := _REST.match(text, m.end())) and (titled or not rest[1]):
+            last = rest.end()
+            yield m.start(), last
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, int, int]]:
     """(start, number of the kind after BASE, end, code) of candidate spans. A code has a bit for each labeler that votes and each feature that holds."""
-    for kind, pattern in enumerate((_NUMBER, _NAME, _HANDLE)):
-        if kind == 2 and "@" not in text:
-            continue
-        for m in pattern.finditer(text):
-            span, before = m[0], text[max(0, m.start() - CONTEXT) : m.start()]
+    numbers, handles = ((m.span() for m in pattern.finditer(text)) for pattern in (_NUMBER, _HANDLE))
+    for kind, spans in enumerate((numbers, _names(text), handles if "@" in text else ())):
+        for start, end in spans:
+            span, before = text[start:end], text[max(0, start - CONTEXT) : start]
             cued, against = bool(_CUES.search(before)), bool(_AGAINST.search(before))
             first = span.split(" ", 1)[0].rstrip(".")
             shaped = kind == 0 and bool(_SHAPED.fullmatch(span))
@@ -118,12 +128,12 @@ def candidates(text: str) -> Iterator[tuple[int, int, int, int]]:
             parts = len(_PART.findall(span))
             uniform = len({c for c in span if not c.isalnum()}) < 2
             marked = before.rstrip(" ").endswith((":", "="))
-            ended = text[m.end() : m.end() + 1] in ("", "\n", ".", ",", ";", ")")
+            ended = text[end : end + 1] in ("", "\n", ".", ",", ";", ")")
             features = (kind == 0, kind == 1, cued, against, titled, listed, shaped, dated, parts > 2, len(span) > 12, uniform, marked, ended)
             code = 0
             for bit in (*voting, *features):
                 code = code << 1 | bit
-            yield m.start(), len(BASE) + kind, m.end(), code
+            yield start, len(BASE) + kind, end, code
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
