@@ -15,8 +15,11 @@ is of such shingles is done. Two classes above the threshold share a shingle of
 and are verified once, on the whole sets. To find the components of a large group of near copies without all its pairs, ``ROUNDS``
 first rounds take from each posting list a class of its least component, then of its greatest, and compare every other class
 with the one of them that it shares most lists with. The last round joins classes of different components only; every pair
-that passes the filters is verified, so no link between components is lost. All rounds are plain equi-joins; posting lists are
-never gathered, Spark splits their hot keys at run time, and a class with many pairs has them dealt in slices of ``SLICE``.
+that passes the filters is verified, so no link between components is lost. Classes of a large group that are nearly similar share
+dozens of lists and pass short sketches: in lists of over ``CROWD`` classes the last round compares sketches of ``CROWDED`` words
+too, and a list leaves out pairs that meet in one of the ``BEFORE`` lists before it of each (all lists of two similar classes
+pass, so the first one makes the pair). All rounds are plain equi-joins; posting lists are never gathered, Spark splits their hot
+keys at run time, and a class with many pairs has them dealt in slices of ``SLICE``.
 
 Null, empty or blank text has an empty set and links with nothing. Rows with one id but several texts count each as their own
 set under that id; rows whose id is null link as others do and take the component of their set, which their id never names.
@@ -25,6 +28,7 @@ Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -42,6 +46,8 @@ from coffer.llm.components import components
 SLACK = 1.5
 SKETCH, WIDE = 4, 64
 ROUNDS = 2
+#: In the last round: lists before each that a class knows, and the words of a sketch in lists of more than so many classes.
+BEFORE, CROWDED, CROWD = 3, 16, 32
 #: Pairs of a class that share one copy of its set.
 SLICE = 64
 
@@ -205,6 +211,26 @@ class Join:
         found = found.withColumn("pos", F.element_at("ends", F.col("level") + 1) - F.row_number().over(last_first))
         return found.where(F.col("pos") < F.col("prefix")).select("token", "cls", "n", "pos", *_PARTS)
 
+    def told(self, posted: DataFrame, sketches: DataFrame) -> DataFrame:
+        """``posted`` with the lists before each of its class, and in crowded lists (``many`` classes) a longer sketch."""
+        in_order = Window.partitionBy("cls").orderBy("pos")
+        before = {f"before{i}": F.lag("token", i + 1).over(in_order) for i in range(BEFORE)}
+        fold = [functools.reduce(Column.bitwiseXOR, (F.col("wide")[j] for j in range(i, WIDE, CROWDED))) for i in range(CROWDED)]  # parities of joined places
+        folded = sketches.select("cls", *[x.alias(f"g{i}") for i, x in enumerate(fold)])
+        own = {f"g{i}": F.when(F.col("many") > CROWD, F.coalesce(f"g{i}", F.lit(0))).otherwise(0).cast("long") for i in range(CROWDED)}
+        return posted.withColumns(before).join(_dealt(folded), "cls").withColumns(own).drop("many")
+
+    def met(self, posted: DataFrame) -> DataFrame:
+        """The last round's join of ``posted`` (with what is ``told``): a row for each pair and list, but for lists that others stand for."""
+        band = self.threshold.band
+        left = posted.withColumn("band", band(F.col("n")))
+        right = posted.select(*[F.col(c).alias(c if c == "token" else f"{c}_r") for c in posted.columns])
+        right = right.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band(F.col("n_r")) + F.col("up"))
+        differ = functools.reduce(Column.__add__, (F.bit_count(F.col(f"g{i}").bitwiseXOR(F.col(f"g{i}_r"))) for i in range(CROWDED)))
+        known = functools.reduce(Column.__or__, (F.coalesce(F.col(f"before{i}") == F.col(f"before{j}_r"), F.lit(False)) for i in range(BEFORE) for j in range(BEFORE)))
+        once = (F.col("up") == 1) | (F.col("cls") < F.col("cls_r"))
+        return left.join(_dealt(right), ["token", "band"]).where(self.passed() & once & ~known & self.threshold.near(differ, F.col("n") + F.col("n_r")))
+
     def narrowed(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """Of distinct pairs (a < b), those whose wide sketches allow the threshold."""
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
@@ -231,7 +257,7 @@ class Join:
         discard(sets)
         return checked
 
-    def pairs(self, labelled: DataFrame, turn: int) -> DataFrame:
+    def pairs(self, labelled: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
         """Distinct pairs (a < b) that pass the filters: in the first rounds of each class with ends of lists, in the last of all classes."""
         few = labelled
         if turn < ROUNDS:  # of long documents' elements some, the same ones in near copies: the last round takes all
@@ -242,20 +268,18 @@ class Join:
         mask = F.when(F.col("n") < 64, 255).when(F.col("n") < 256, 15).otherwise(3)
         few = few.withColumn("part", F.col(_PARTS[turn % SKETCH]).bitwiseAND(mask.cast("long")) if 0 < turn < ROUNDS else F.lit(0).cast("long"))
         end = F.min_by("cls", F.struct("pos", (F.xxhash64("cls", F.lit(turn)))))
-        ends = few.groupBy("token", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), end.alias("end")).where("low < high").select("token", "part", "end")
-        posted = store(few.join(_dealt(ends), ["token", "part"]))
-        right = posted.select(*[F.col(c).alias(c if c in ("token", "part") else f"{c}_r") for c in posted.columns])
+        ends = few.groupBy("token", "part").agg(F.min("component").alias("low"), F.max("component").alias("high"), end.alias("end"), F.count("*").alias("many")).where("low < high").select("token", "part", "end", "many")
+        posted = few.join(_dealt(ends), ["token", "part"])
         pair = [F.least("cls", "cls_r").alias("a"), F.greatest("cls", "cls_r").alias("b")]
         if turn < ROUNDS:
+            posted = store(posted.drop("many"))
+            right = posted.select(*[F.col(c).alias(c if c in ("token", "part") else f"{c}_r") for c in posted.columns])
             met = posted.join(_dealt(right.where("cls_r = end_r")), ["token", "part"]).where(self.passed())
             counted = met.groupBy("cls", "cls_r").agg(F.count("*").alias("lists"))
             out = cut(counted.groupBy("cls").agg(F.max_by("cls_r", "lists").alias("cls_r")).select(*pair).distinct())
         else:
-            band = self.threshold.band
-            left = posted.drop("part").withColumn("band", band(F.col("n")))
-            right = right.drop("part").withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", band(F.col("n_r")) + F.col("up"))
-            met = left.join(_dealt(right), ["token", "band"]).where(self.passed() & ((F.col("up") == 1) | (F.col("cls") < F.col("cls_r"))))
-            out = cut(met.select(*pair).distinct())
+            posted = store(self.told(posted.drop("part", "end"), sketches))
+            out = cut(self.met(posted).select(*pair).distinct())
         discard(posted)
         return out
 
@@ -274,7 +298,7 @@ class Join:
         joined = self.spark.createDataFrame([], "cls long, component long")
         for turn in range(ROUNDS + 1):
             labelled = lookup(listed, joined, "cls").withColumn("component", F.coalesce("component", "cls"))
-            pairs = self.pairs(labelled, turn)
+            pairs = self.pairs(labelled, sketches, turn)
             if checked is not None:
                 pairs = pairs.join(_dealt(checked.select("a", "b")), ["a", "b"], "left_anti")
             new = self.verified(cut(self.narrowed(pairs, sketches)), found)

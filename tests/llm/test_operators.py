@@ -323,6 +323,39 @@ def test_jaccard_chains_sizes_and_null_ids(spark, monkeypatch):
         assert collected(jaccard.near_duplicates(df, width, num, den), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_jaccard_nearly_similar_group(spark, monkeypatch):
+    """A large group just below the threshold, with a few copies above it: the last round makes few pairs, and each in few lists."""
+    rng = random.Random(12)
+    core, data, made = [f"c{rng.randrange(10**6)}" for _ in range(390)], [], []
+    for i in range(70):
+        w = list(core)
+        for at in rng.sample(range(390), 12):
+            w[at] = f"own{i}at{at}"
+        data.append((i, " ".join(w)))
+        if i % 10 == 0:
+            data.append((100 + i, " ".join([*w[:-1], "end"])))
+    data.append((999, " ".join(core)))
+    plain_pairs, plain_met = jaccard.Join.pairs, jaccard.Join.met
+
+    def pairs(self, *given):
+        out = plain_pairs(self, *given)
+        made.extend([("pairs", out.count())] if given[-1] == jaccard.ROUNDS else [])
+        return out
+
+    def met(self, posted):
+        out = plain_met(self, posted)
+        made.append(("met", out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)  # all pairs meet in the last round
+    monkeypatch.setattr(jaccard.Join, "pairs", pairs)
+    monkeypatch.setattr(jaccard.Join, "met", met)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert collected(jaccard.near_duplicates(df, 5, 4, 5), "doc_id", "n_shingles", "component_id") == jaccard_rows(data, 5, 4, 5)
+    made = dict(made)
+    assert made["pairs"] < 600 and made["met"] < 3 * made["pairs"], made
+
+
 def test_jaccard_empty_and_stage(spark, docs, rows):
     assert not jaccard.near_duplicates(empty(spark)).collect()
     assert not jaccard.keep_one(empty(spark)).collect()
