@@ -147,6 +147,32 @@ def test_gcm_by_definition():
             assert gcm.open_bytes(kind, sealed[:-1] + bytes([sealed[-1] ^ 1]), bytes(range(32)), bytes(12), b"data") is None
 
 
+def test_ciphers_take_many_messages_at_once(monkeypatch):
+    """Rows with keys, nonces and data of their own, nulls among them: as each alone; the key's blocks of all rows go to the cipher in few calls."""
+    rng, calls = random.Random(8), []
+    keys = [rng.randbytes(32) for _ in range(3)]
+    rows = [(rng.randbytes(n), keys[i % 3], rng.randbytes(12), rng.randbytes(i % 40)) for i, n in enumerate([0, 1, 15, 16, 17, 63, 64, 65, 511, 512, 513, 20_000] * 10)]
+    rows[5] = rows[50] = (None, *rows[5][1:])
+    monkeypatch.setitem(gcm.CIPHERS, "serpent", lambda key, plain=gcm.CIPHERS["serpent"]: (lambda run: lambda x: calls.append(len(x)) or run(x))(plain(key)))
+    for kind in ("chacha20", "serpent", "camellia", "twofish"):
+        seal, unseal = (chacha.seal_many, chacha.open_many) if kind == "chacha20" else (lambda *a, k=kind: gcm.seal_many(k, *a), lambda *a, k=kind: gcm.open_many(k, *a))
+        sealed = chacha.by_key(seal, rows)
+        if kind == "serpent":
+            assert len(calls) < 30 < len(rows)  # two for each row before
+        one = (lambda raw, key, nonce, data: chacha.seal_bytes(raw, key, nonce, data)) if kind == "chacha20" else (lambda *row, k=kind: gcm.seal_bytes(k, *row))
+        assert sealed == [None if None in row else one(*row) for row in rows]
+        given = [(x, *row[1:]) for x, row in zip(sealed, rows, strict=True)]
+        assert chacha.by_key(unseal, given) == [row[0] for row in rows]
+        cut = [(x and x[: -1 - i % 20], *row[1:]) if i % 2 else (x, row[1], bytes(12), row[3]) for i, (x, row) in enumerate(zip(sealed, rows, strict=True))]
+        assert chacha.by_key(unseal, cut) == [None] * len(rows)
+    for n in (16, 512, 528, 16 * 700):  # Poly1305 against a block at a time
+        key, message, total = rng.randbytes(32), b"\xff" * n, 0
+        for i in range(0, n, 16):
+            total = (total + int.from_bytes(message[i : i + 16], "little") + (1 << 128)) * (int.from_bytes(key[:16], "little") & chacha.CLAMP) % chacha.PRIME
+        want = (total + int.from_bytes(key[16:], "little") & (1 << 128) - 1).to_bytes(16, "little")
+        assert chacha.authenticators([key, bytes(32)], [message, message])[0] == want
+
+
 def test_argon2_seals_manifests(spark, monkeypatch):
     monkeypatch.setattr(keys, "ARGON2_KIB", 64)  # in this process; a job's keys are derived elsewhere, at full cost
     for cipher in Cipher:
